@@ -82,6 +82,8 @@ def blank_preserving(model: SemanticModel, node: s.Node, seen: frozenset = froze
     if isinstance(node, s.Call):
         if node.name == "DIVIDE":
             return len(node.args) == 2 and blank_preserving(model, node.args[0], seen)
+        if node.name in ("ROUND", "ABS", "INT", "ROUNDUP", "ROUNDDOWN", "TRUNC", "SQRT", "EXP", "SIGN"):
+            return blank_preserving(model, node.args[0], seen)
         return node.name in AGGREGATES and len(node.args) == 1 or node.name in ITERATORS and isinstance(node.args[0], s.Name)
     if isinstance(node, s.Ref):
         low = node.column.lower()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ def ntz(c: Column) -> Column:
 
 def make_date(y: Val, m: Val, d: Val) -> Val:
     """Months and days beyond their range roll over."""
+    if all(x.is_const and type(x.const) is int for x in (y, m, d)) and 1900 <= y.const <= 9000:
+        months = y.const * 12 + m.const - 1
+        first = dt.datetime(months // 12, months % 12 + 1, 1)
+        return lit(first + dt.timedelta(days=d.const - 1))
     a, b, c = (F.coalesce(double(x), F.lit(0.0)).cast("int") for x in (y, m, d))
     a = F.when((a >= 0) & (a <= 1899), a + 1900).otherwise(a)
     ok = a.between(1, 9999)

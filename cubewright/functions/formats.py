@@ -16,7 +16,7 @@ from cubewright.plans.values import Val, date, double, lit, text0
 
 #: Named formats (fixed values).
 NAMED = {
-    "general number": "0.###############", "currency": "$#,##0.00;($#,##0.00)", "fixed": "0.00", "standard": "#,##0.00", "percent": "0.00%", "scientific": "0.00E+00",
+    "currency": "$#,##0.00;($#,##0.00)", "fixed": "0.00", "standard": "#,##0.00", "percent": "0.00%", "scientific": "0.00E+00",
     "general date": "m/d/yyyy h:nn:ss AM/PM", "long date": "dddd, mmmm d, yyyy", "medium date": "dd-mmm-yy", "short date": "m/d/yyyy",
     "long time": "h:nn:ss AM/PM", "medium time": "hh:nn AM/PM", "short time": "hh:nn",
 }
@@ -34,6 +34,8 @@ def format_value(v: Val, pattern: Val, culture: str = "en-US") -> Val:
         raise DaxError("FORMAT needs a constant pattern")
     spelled = str(pattern.const or "")
     low = spelled.lower().strip()
+    if low == "general number":
+        return Val(text0(v), "str")
     if low in ("true/false", "yes/no", "on/off"):
         yes, no = low.split("/")
         return Val(F.when(double(v) != 0, yes.capitalize()).otherwise(no.capitalize()), "str")
@@ -157,7 +159,8 @@ def _body(x: Column, body: str, seps: tuple[str, str]) -> Column:
 def _digits(x: Column, need: int, least: int, most: int, grouped: bool, point: str, group: str) -> Column:
     """``x`` >= 0 with ``least`` to ``most`` decimals and at least ``need`` whole digits.
 
-    Halves of the decimal spelling are rounded up.
+    Halves of the decimal spelling are rounded up; a pattern's point stays even if
+    no decimal follows it.
     """
     exact = F.round(x.cast("decimal(38,12)"), most)
     spelled = F.format_number(exact, most)
@@ -178,7 +181,7 @@ def _digits(x: Column, need: int, least: int, most: int, grouped: bool, point: s
         out = F.replace(out, F.lit(","), F.lit(group))
     if not most:
         return out
-    return F.concat(out, F.when(part == "", "").otherwise(F.concat(F.lit(point), part)))
+    return F.concat(out, F.lit(point), part)
 
 
 def fixed(v: Val, d: Val, plain: Val) -> Val:

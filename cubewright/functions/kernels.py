@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cubewright.model import SPARK_TYPE
 from cubewright.plans.values import Val, lit, number
+from cubewright.workers import ship
 
 
 def _safe(f: Callable, values: tuple):
@@ -33,6 +34,8 @@ def python_scalar(f: Callable, values: Sequence[Val], kind: str) -> Val:
     if all(v.is_const for v in values):
         return lit(_typed(_safe(f, tuple(plain(v) for v in values)), kind), kind)
 
+    ship()
+
     @F.pandas_udf(SPARK_TYPE[kind])
     def udf(*columns: pd.Series) -> pd.Series:
         rows = zip(*(c.astype(object).where(c.notna(), None) for c in columns))

@@ -125,10 +125,6 @@ def _kernel(f, n: int):
     return made
 
 
-def _atanh(x: Column) -> Column:
-    return F.atanh(x)
-
-
 SCALARS |= {
     "ABS": lambda v: Val(F.abs(number(v)), num_type(v)),
     "ROUND": round_,
@@ -140,6 +136,8 @@ SCALARS |= {
     "CEILING": _to_multiple(F.ceil),
     "FLOOR": _to_multiple(F.floor),
     "ISO.CEILING": _to_multiple(F.ceil, True),
+    "CEILING.MATH": _to_multiple(F.ceil, True),
+    "FLOOR.MATH": _to_multiple(F.floor, True),
     "MOD": mod,
     "QUOTIENT": quotient,
     "POWER": lambda a, b: Val(F.pow(double(a), double(b)), "dbl"),
@@ -180,7 +178,7 @@ SCALARS |= {
     "COTH": _one(lambda x: F.try_divide(F.cosh(x), F.sinh(x)), lambda x: x != 0),
     "ASINH": _one(F.asinh),
     "ACOSH": _one(F.acosh, lambda x: x >= 1),
-    "ATANH": _one(_atanh, lambda x: F.abs(x) < 1),
+    "ATANH": _one(F.atanh, lambda x: F.abs(x) < 1),
     "ACOTH": _one(lambda x: F.atanh(F.try_divide(F.lit(1.0), x)), lambda x: F.abs(x) > 1),
     "DEGREES": _one(F.degrees),
     "RADIANS": _one(F.radians),

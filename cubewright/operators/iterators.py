@@ -17,6 +17,8 @@ from cubewright.plans.context import Env, Frame, Out, Rel, fresh, match, q
 from cubewright.plans.planner import Planner, keyword, special, table_function
 from cubewright.plans.values import Val, date, double, lit, same_type, text
 
+from cubewright.workers import ship
+
 from .filters import column_of
 from .tables import direction
 
@@ -159,6 +161,8 @@ def _xirr(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     keys, out = list(inner.carried), fresh("x")
     daily = inner.df.groupBy(*map(q, keys), F.to_date(q(d)).alias("__day")).agg(F.sum(q(v)).alias("__v"))
 
+    ship(p.spark)
+
     @F.pandas_udf("double")
     def solve(values: pd.Series, days: pd.Series) -> float:
         flows = [(float(x), t) for x, t in zip(values, days) if x is not None and isinstance(t, dt.date)]

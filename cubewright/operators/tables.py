@@ -669,7 +669,7 @@ def substitute_with_index(p: Planner, node: s.Call, frame: Frame, env: Env) -> R
 
 
 def _title(o: Out) -> str:
-    return f"'{o.lineage[0]}'[{o.lineage[1]}]" if o.lineage else f"[{o.name}]"
+    return f"'{o.lineage[0]}'[{o.lineage[1]}]" if o.lineage and o.lineage[1] == o.name else f"[{o.name}]"
 
 
 def _lines(p: Planner, node: s.Call, frame: Frame, env: Env, cell, between: str, row) -> tuple[Rel, list[Val]]:

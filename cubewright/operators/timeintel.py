@@ -67,7 +67,12 @@ def ends(p: Planner, node: s.Node, frame: Frame, env: Env) -> tuple[tuple[str, s
     return where, df.groupBy(*map(q, keys)).agg(F.min(q(at)).alias("__min"), F.max(q(at)).alias("__max")), keys
 
 
-MIN, MAX = F.col("__min"), F.col("__max")
+def first() -> Column:
+    return F.col("__min")
+
+
+def last() -> Column:
+    return F.col("__max")
 
 
 def start_of(c: Column, unit: str) -> Column:
@@ -100,42 +105,42 @@ def fiscal_start(c: Column, end: tuple[int, int] | None) -> Column:
     m, d = end
     this = F.last_day(F.make_date(F.year(c), F.lit(m), F.lit(1)))
     this = F.least(this, F.date_add(F.make_date(F.year(c), F.lit(m), F.lit(1)), d - 1))
-    last = F.date_add(F.add_months(F.make_date(F.year(c), F.lit(m), F.lit(1)), -12), d - 1)
-    last = F.least(last, F.last_day(F.add_months(F.make_date(F.year(c), F.lit(m), F.lit(1)), -12)))
-    return days(F.when(F.to_date(c) > this, this).otherwise(last), 1)
+    before = F.date_add(F.add_months(F.make_date(F.year(c), F.lit(m), F.lit(1)), -12), d - 1)
+    before = F.least(before, F.last_day(F.add_months(F.make_date(F.year(c), F.lit(m), F.lit(1)), -12)))
+    return days(F.when(F.to_date(c) > this, this).otherwise(before), 1)
 
 
 #: name -> (low, high) of the period, from the first and last visible date.
 PERIODS: dict[str, tuple[Callable, Callable]] = {
-    "DATESMTD": (lambda: start_of(MAX, "month"), lambda: MAX),
-    "DATESQTD": (lambda: start_of(MAX, "quarter"), lambda: MAX),
-    "PREVIOUSDAY": (lambda: days(MIN, -1), lambda: days(MIN, -1)),
-    "NEXTDAY": (lambda: days(MAX, 1), lambda: days(MAX, 1)),
-    "STARTOFMONTH": (lambda: start_of(MIN, "month"), lambda: start_of(MIN, "month")),
-    "STARTOFQUARTER": (lambda: start_of(MIN, "quarter"), lambda: start_of(MIN, "quarter")),
-    "ENDOFMONTH": (lambda: end_of(MAX, "month"), lambda: end_of(MAX, "month")),
-    "ENDOFQUARTER": (lambda: end_of(MAX, "quarter"), lambda: end_of(MAX, "quarter")),
-    "FIRSTDATE": (lambda: MIN, lambda: MIN),
-    "LASTDATE": (lambda: MAX, lambda: MAX),
+    "DATESMTD": (lambda: start_of(last(), "month"), lambda: last()),
+    "DATESQTD": (lambda: start_of(last(), "quarter"), lambda: last()),
+    "PREVIOUSDAY": (lambda: days(first(), -1), lambda: days(first(), -1)),
+    "NEXTDAY": (lambda: days(last(), 1), lambda: days(last(), 1)),
+    "STARTOFMONTH": (lambda: start_of(first(), "month"), lambda: start_of(first(), "month")),
+    "STARTOFQUARTER": (lambda: start_of(first(), "quarter"), lambda: start_of(first(), "quarter")),
+    "ENDOFMONTH": (lambda: end_of(last(), "month"), lambda: end_of(last(), "month")),
+    "ENDOFQUARTER": (lambda: end_of(last(), "quarter"), lambda: end_of(last(), "quarter")),
+    "FIRSTDATE": (lambda: first(), lambda: first()),
+    "LASTDATE": (lambda: last(), lambda: last()),
 }
 for _unit, _n in (("MONTH", 1), ("QUARTER", 3), ("YEAR", 12)):
     _low = _unit.lower()
-    PERIODS[f"PREVIOUS{_unit}"] = (lambda u=_low, n=_n: start_of(months(start_of(MIN, u), -n), u), lambda u=_low, n=_n: end_of(months(start_of(MIN, u), -n), u))
-    PERIODS[f"NEXT{_unit}"] = (lambda u=_low, n=_n: start_of(months(start_of(MAX, u), n), u), lambda u=_low, n=_n: end_of(months(start_of(MAX, u), n), u))
+    PERIODS[f"PREVIOUS{_unit}"] = (lambda u=_low, n=_n: start_of(months(start_of(first(), u), -n), u), lambda u=_low, n=_n: end_of(months(start_of(first(), u), -n), u))
+    PERIODS[f"NEXT{_unit}"] = (lambda u=_low, n=_n: start_of(months(start_of(last(), u), n), u), lambda u=_low, n=_n: end_of(months(start_of(last(), u), n), u))
 
 
 def period(p: Planner, name: str, node: s.Node, frame: Frame, env: Env, end: tuple[int, int] | None = None) -> Rel:
     where, bounds, keys = ends(p, node, frame, env)
     if name == "DATESYTD":
-        low, high = fiscal_start(MAX, end), MAX
+        low, high = fiscal_start(last(), end), last()
     elif name in ("STARTOFYEAR", "ENDOFYEAR", "PREVIOUSYEAR", "NEXTYEAR"):
-        edge = MIN if name in ("STARTOFYEAR", "PREVIOUSYEAR") else MAX
-        first = fiscal_start(edge, end)
-        following = months(first, 12)
+        edge = first() if name in ("STARTOFYEAR", "PREVIOUSYEAR") else last()
+        start = fiscal_start(edge, end)
+        following = months(start, 12)
         low, high = {
-            "STARTOFYEAR": (first, first),
+            "STARTOFYEAR": (start, start),
             "ENDOFYEAR": (days(following, -1), days(following, -1)),
-            "PREVIOUSYEAR": (months(first, -12), days(first, -1)),
+            "PREVIOUSYEAR": (months(start, -12), days(start, -1)),
             "NEXTYEAR": (following, days(months(following, 12), -1)),
         }[name]
     else:
@@ -144,10 +149,10 @@ def period(p: Planner, name: str, node: s.Node, frame: Frame, env: Env, end: tup
         # The first or last date of the period that the date table has.
         unit = name.removeprefix("STARTOF").removeprefix("ENDOF").lower()
         if unit == "year":
-            first = fiscal_start(MIN if name.startswith("START") else MAX, end)
-            span = (first, days(months(first, 12), -1))
+            start = fiscal_start(first() if name.startswith("START") else last(), end)
+            span = (start, days(months(start, 12), -1))
         else:
-            edge = MIN if name.startswith("START") else MAX
+            edge = first() if name.startswith("START") else last()
             span = (start_of(edge, unit), end_of(edge, unit))
         rel = between(p, where, bounds, keys, *span)
         o, at = rel.cols[0], fresh("d")
@@ -192,9 +197,9 @@ def balances(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     rest = [a for a in rest if year_end(p, a, frame, env) is None]
     where, bounds, keys = ends(p, node.args[1], frame, p.transition(frame, env))
     if node.name.startswith("OPENING"):
-        at = days(fiscal_start(MIN, end) if unit == "year" else start_of(MIN, unit), -1)
+        at = days(fiscal_start(first(), end) if unit == "year" else start_of(first(), unit), -1)
     else:
-        at = days(months(fiscal_start(MAX, end), 12), -1) if unit == "year" else end_of(MAX, unit)
+        at = days(months(fiscal_start(last(), end), 12), -1) if unit == "year" else end_of(last(), unit)
     rel = between(p, where, bounds, keys, at, at)
     return p.scalar(node.args[0], frame, _in(p, rel, tuple(rest), frame, env))
 
@@ -210,12 +215,12 @@ def shift(p: Planner, node: s.Node, n: int, unit: str, frame: Frame, env: Env) -
     bounds = runs.groupBy(*map(q, keys), "__run").agg(F.min(q(at)).alias("__min"), F.max(q(at)).alias("__max"))
     if UNITS[unit] == 0:
         by = n * (7 if unit == "WEEK" else 1)
-        low, high = days(MIN, by), days(MAX, by)
+        low, high = days(first(), by), days(last(), by)
     else:
         by = n * UNITS[unit]
-        low, high = months(MIN, by), months(MAX, by)
+        low, high = months(first(), by), months(last(), by)
         # Months are whole: a run to a month's end stays one.
-        high = F.when(F.to_date(MAX) == F.last_day(MAX), ntz(F.last_day(high))).otherwise(high)
+        high = F.when(F.to_date(last()) == F.last_day(last()), ntz(F.last_day(high))).otherwise(high)
     made = between(p, where, bounds.withColumn("__low2", low).withColumn("__high2", high), [*keys, "__run"], F.col("__low2"), F.col("__high2"))
     o = made.cols[0]
     return Rel(made.df.select(*map(q, keys), q(o.at)).distinct(), [o], keys, shift=True)
@@ -244,9 +249,9 @@ def parallel_period(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     where, bounds, keys = ends(p, node.args[0], frame, env)
     n, unit = _count(p, node.args[1], frame, env), keyword(node.args[2])
     if UNITS[unit] == 0:
-        return between(p, where, bounds, keys, days(MIN, n), days(MAX, n))
+        return between(p, where, bounds, keys, days(first(), n), days(last(), n))
     by, low = n * UNITS[unit], unit.lower()
-    return between(p, where, bounds, keys, months(start_of(MIN, low), by), end_of(months(start_of(MAX, low), by), low))
+    return between(p, where, bounds, keys, months(start_of(first(), low), by), end_of(months(start_of(last(), low), by), low))
 
 
 def _bound(p: Planner, node: s.Node, frame: Frame, env: Env) -> Val:
@@ -297,7 +302,7 @@ def _days(df: DataFrame, keys: list[str], a: Column, b: Column) -> Rel:
 @table_function("CALENDARAUTO")
 def calendar_auto(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     """Whole (fiscal) years over all date columns of the model's stored tables."""
-    last = _count(p, node.args[0], frame, env) if node.args else 12
+    ending = _count(p, node.args[0], frame, env) if node.args else 12
     spans = []
     for t, df in p.model.tables.items():
         if t in p.model.calculated_tables:
@@ -311,8 +316,8 @@ def calendar_auto(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     for one in spans[1:]:
         whole = whole.union(one)
     whole = whole.agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    a = F.trunc(F.add_months("a", -(last % 12)), "year")
-    b = F.add_months(F.trunc(F.add_months("b", -(last % 12)), "year"), 12)
-    low, high = F.add_months(a, last % 12), F.date_sub(F.add_months(b, last % 12), 1)
+    a = F.trunc(F.add_months("a", -(ending % 12)), "year")
+    b = F.add_months(F.trunc(F.add_months("b", -(ending % 12)), "year"), 12)
+    low, high = F.add_months(a, ending % 12), F.date_sub(F.add_months(b, ending % 12), 1)
     return _days(whole.select(low.alias("a"), high.alias("b")), [], F.col("a"), F.col("b"))
 

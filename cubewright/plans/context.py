@@ -37,11 +37,15 @@ def match(pairs: list[tuple[str, str]]) -> Column:
 
 @dataclass(frozen=True, eq=False)
 class Pred:
-    """A condition on columns that doesn't depend on the context."""
+    """A condition on columns that doesn't depend on the context.
+
+    ``whole``: it filters whole rows of its table, so tables above it too.
+    """
 
     cols: tuple[Where, ...]
     test: Callable[[Callable[[str, str], Column]], Column]
     keys: tuple[str, ...] = ()
+    whole: bool = False
 
 
 @dataclass(frozen=True, eq=False)
@@ -60,6 +64,10 @@ class Key:
     def keys(self) -> tuple[str, ...]:
         return (self.key,)
 
+    @property
+    def whole(self) -> bool:
+        return False
+
 
 @dataclass(frozen=True, eq=False)
 class Sub:
@@ -69,6 +77,7 @@ class Sub:
     df: DataFrame
     names: tuple[str, ...]
     keys: tuple[str, ...] = ()
+    whole: bool = False
 
 
 Item = Pred | Key | Sub

@@ -120,12 +120,20 @@ class Planner:
     def _across(self, table: str, item, fc: FilterContext, inner: Frame) -> None:
         """A filter of a table that isn't above this one: it comes over relationships
         that filter both ways, or from the rows of the many side (table filters)."""
+        if item.whole:
+            start = item.cols[0][0]
+            path = self.model.path_up(start, table, fc.edges)
+            if path:
+                many, frame = self.base(start, FilterContext((item,), fc.edges), inner.parent)
+                at = self.reach(frame, start, (path[-1].from_table, path[-1].from_column), fc.edges)
+                own = f"{table}[{path[-1].to_column}]"
+                self._sub(inner, Sub(((table, path[-1].to_column),), frame.df, (at,), tuple(frame.carried)), [own])
+                return
         for edge in self.model.edges(fc.edges):
             if edge.to_table != table and self.model.path_up(table, edge.to_table, fc.edges) is None:
                 continue
             down = {t: self.model.path_up(edge.from_table, t, fc.edges) for t, _ in item.cols}
-            expanded = isinstance(item, Sub) and all(t == edge.from_table for t, _ in item.cols)
-            if any(p is None for p in down.values()) or not (edge.both or edge.many_to_many or expanded):
+            if any(p is None for p in down.values()) or not (edge.both or edge.many_to_many):
                 continue
             many, frame = self.base(edge.from_table, FilterContext((item,), fc.edges), inner.parent)
             at = self.reach(inner, table, (edge.to_table, edge.to_column), fc.edges)
@@ -727,7 +735,7 @@ class Planner:
             return None
         if isinstance(over, s.Name) and over.name.lower() not in env.vars:
             table = self.model.table_name(over.name)
-            return (None, [self._pred(test, cols, frame, env)]) if {t for t, _ in cols} == {table} else None
+            return (None, [replace(self._pred(test, cols, frame, env), whole=True)]) if {t for t, _ in cols} == {table} else None
         if isinstance(over, s.Call) and over.name in ("ALL", "VALUES", "DISTINCT") and over.args:
             if all(isinstance(a, s.Ref) for a in over.args):
                 own = {(self.home(a, env), self.model.column_name(self.home(a, env), a.column)) for a in over.args}
@@ -749,7 +757,7 @@ class Planner:
             kept = [o for o in outs if o.lineage[0] != rel.base or o.lineage[1] in key]
             if {o.lineage[1] for o in kept if o.lineage[0] == rel.base} >= set(key):
                 outs = kept
-        item = Sub(tuple(o.lineage for o in outs), rel.df, tuple(o.at for o in outs), tuple(rel.keys))
+        item = Sub(tuple(o.lineage for o in outs), rel.df, tuple(o.at for o in outs), tuple(rel.keys), rel.base is not None)
         if rel.shift:
             tables = {t for t, _ in cols}
             return (lambda fc: fc.without(lambda c: c[0] in tables)), [item]

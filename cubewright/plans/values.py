@@ -7,7 +7,9 @@ blank (NULL of no type yet). NULL is BLANK.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
+from types import FunctionType
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,10 +24,16 @@ NUMERIC = ("int", "dbl", "dec")
 
 @dataclass(frozen=True)
 class Val:
-    col: Column
+    """``made``: the Column, or for constants what makes it (a session may come later)."""
+
+    made: Column | Callable[[], Column]
     type: str
     const: object = NOT_CONST
 
+    @property
+    def col(self) -> Column:
+        return self.made() if isinstance(self.made, FunctionType) else self.made
+
     @property
     def is_const(self) -> bool:
         return self.const is not NOT_CONST
@@ -36,17 +44,17 @@ def lit(value: object, kind: str | None = None) -> Val:
     if kind is None:
         kind = "blank" if value is None else "bool" if isinstance(value, bool) else "int" if isinstance(value, int) else "dbl" if isinstance(value, float) else "date" if isinstance(value, dt.datetime) else "str"
     if value is None:
-        return Val(F.lit(None).cast(SPARK_TYPE[kind]), kind, None)
+        return Val(lambda: F.lit(None).cast(SPARK_TYPE[kind]), kind, None)
     if kind == "dbl":
         value = float(value)
-        return Val(F.lit(value), kind, value)
+        return Val(lambda: F.lit(value), kind, value)
     if kind == "date":
-        return Val(F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz"), kind, value)
+        return Val(lambda: F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz"), kind, value)
     if kind == "int":
         if abs(value) >= 1 << 63:
             return lit(float(value))
-        return Val(F.lit(value).cast("long"), kind, value)
-    return Val(F.lit(value), kind, value)
+        return Val(lambda: F.lit(value).cast("long"), kind, value)
+    return Val(lambda: F.lit(value), kind, value)
 
 
 BLANK = lit(None)
@@ -188,8 +196,10 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
             return lit(a.const + b.const)
         both = text(a).isNull() & text(b).isNull()
         return Val(F.when(both, F.lit(None).cast("string")).otherwise(F.concat(text0(a), text0(b))), "str")
-    if a.is_const and b.is_const and type(a.const) in (int, float) and type(b.const) in (int, float) and not (op in "/^"):
+    if a.is_const and b.is_const and type(a.const) in (int, float) and type(b.const) in (int, float) and op not in "/^":
         return lit(a.const + b.const if op == "+" else a.const - b.const if op == "-" else a.const * b.const)
+    if op in "/^" and a.is_const and b.is_const and type(a.const) in (int, float) and type(b.const) in (int, float) and b.const > 0:
+        return lit(float(a.const / b.const) if op == "/" else float(a.const) ** b.const)
     x, y = number(a), number(b)
     whole = num_type(a) == num_type(b) == "int"
     if not whole:
