@@ -45,7 +45,7 @@ def concatenate_x(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     agg = inner.df.groupBy(*map(q, keys)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(q(rank), q(at)))), lambda x: x[at]), by.const if by.is_const else ",").alias(out))
     p.settle(frame, keys)
     frame.join_back(agg, keys, [out])
-    return Val(q(out), "str")
+    return Val(F.nullif(q(out), F.lit("")), "str")
 
 
 @special("RANKX")

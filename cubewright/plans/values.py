@@ -77,18 +77,28 @@ def from_serial(number: Column) -> Column:
 
 
 def number_text(x: Column, kind: str) -> Column:
-    """A number as text: up to 15 significant digits, no trailing zeros."""
+    """A number as text: at most 15 significant digits, without trailing zeros.
+
+    Fixed as long as that needs at most 15 decimals and 15 whole digits, else
+    scientific with two exponent digits.
+    """
     if kind == "int":
         return x.cast("string")
     x = x.cast("double")
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    digits = F.greatest(F.least(F.lit(14) - F.floor(F.log10(F.abs(x))), F.lit(18)), F.lit(0)).cast("int")
-    scale = F.pow(F.lit(10.0), digits)
-    fixed = (F.round(x * scale) / scale).cast("decimal(38,18)").cast("string")
-    fixed = F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    odd = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
-    small_or_large = (F.abs(x) < 1e-4) | (F.abs(x) >= 1e15)
-    return F.when(x.isNull(), None).otherwise(F.coalesce(odd, F.when(whole, x.cast("long").cast("string")).when(small_or_large, x.cast("string")).otherwise(fixed)))
+    spelled = F.format_string("%.14e", F.abs(x))
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(spelled, "e", 1), r"\.", ""), "(?<=.)0+$", "")
+    e = F.substring_index(spelled, "e", -1).cast("int")
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
+    whole = F.when(e >= 0, F.left(F.concat(digits, zeros(e + 1 - n)), e + 1)).otherwise("0")
+    part = F.when(e >= 0, F.when(n > e + 1, F.substring(digits, e + 2, F.lit(20))).otherwise("")).otherwise(F.concat(zeros(-e - 1), digits))
+    fixed = F.concat(sign, whole, F.when((part != "") & (digits != "0"), F.concat(F.lit("."), part)).otherwise(""))
+    power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    scientific = F.concat(sign, F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.lit(20)))).otherwise(""), F.lit("E"), power)
+    fits = (n - 1 - e <= 15) & (e + 1 <= 15)
+    odd = F.when(F.isnan(x), "-nan(ind)").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.when(x.isNull(), None).otherwise(F.coalesce(odd, F.when(fits, fixed).otherwise(scientific)))
 
 
 def text(v: Val) -> Column:
@@ -100,7 +110,8 @@ def text(v: Val) -> Column:
     if v.type == "date":
         day = F.date_format(v.col, "M/d/yyyy")
         midnight = (F.hour(v.col) == 0) & (F.minute(v.col) == 0) & (F.second(v.col) == 0)
-        return F.when(midnight, day).otherwise(F.date_format(v.col, "M/d/yyyy h:mm:ss a"))
+        time_only = F.to_date(v.col) == F.lit("1899-12-30").cast("date")
+        return F.when(time_only, F.date_format(v.col, "h:mm:ss a")).when(midnight, day).otherwise(F.date_format(v.col, "M/d/yyyy h:mm:ss a"))
     return number_text(v.col, v.type)
 
 
