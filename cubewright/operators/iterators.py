@@ -20,6 +20,7 @@ from cubewright.plans.values import Val, date, double, lit, same_type, text
 from cubewright.workers import ship
 
 from .filters import column_of
+from .ranks import running
 from .tables import direction
 
 
@@ -71,9 +72,14 @@ def rank_x(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     # BLANK ranks as zero, as comparisons take it.
     zero = F.lit("") if kind == "str" else F.lit(0)
     groups = inner.df.select(*map(q, keys), F.coalesce(q(at), zero).alias("__v")).groupBy(*map(q, keys), "__v").agg(F.count(F.lit(1)).alias("__n"))
-    over = Window.partitionBy(*map(q, keys)).orderBy(F.col("__v").desc() if down else F.col("__v").asc())
-    before = F.coalesce(F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.withColumn("__r", F.row_number().over(over) if dense else before + 1).withColumn("__next", F.when(F.lit(dense), F.row_number().over(over) + 1).otherwise(before + F.col("__n") + 1))
+    if keys:
+        over = Window.partitionBy(*map(q, keys)).orderBy(F.col("__v").desc() if down else F.col("__v").asc())
+        ahead = F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1))
+        groups = groups.withColumn("__before", F.coalesce(ahead, F.lit(0))).withColumn("__row", F.row_number().over(over))
+    else:
+        groups = running(groups, "__v", "__n", down, kind in ("int", "dbl"))
+    rank = F.col("__row") if dense else F.col("__before") + 1
+    groups = groups.withColumn("__r", rank).withColumn("__next", rank + (1 if dense else F.col("__n")))
     names = {k: fresh("on") for k in keys}
     right = groups.select(*[q(k).alias(n) for k, n in names.items()], "__v", "__r", "__next")
     mine_ = F.coalesce(q(own), zero)

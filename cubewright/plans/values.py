@@ -212,9 +212,9 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     if op in "/^" and a.is_const and b.is_const and type(a.const) in (int, float) and type(b.const) in (int, float) and b.const > 0:
         return lit(float(a.const / b.const) if op == "/" else float(a.const) ** b.const)
     x, y = number(a), number(b)
-    whole = num_type(a) == num_type(b) == "int"
-    if not whole:
-        x, y = x.cast("double"), y.cast("double")
+    whole = all(v.type in ("int", "bool", "blank") for v in (a, b))
+    to = "long" if whole else "double"
+    x, y = (c.cast(to) if whole or v.type != "dbl" else c for c, v in ((x, a), (y, b)))
     if op == "*":
         return Val(x * y, "int" if whole else "dbl")
     if op == "^":

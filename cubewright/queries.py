@@ -89,7 +89,7 @@ grouped("agg_stdev_var", {"ss": "ROUND(STDEV.S(lineitem[l_quantity]), 6)", "sp":
 grouped("agg_geomean_product", {"g": "ROUND(GEOMEAN(part[p_size]), 6)", "p": "ROUND(LN(PRODUCTX(TOPN(3, part, part[p_partkey], ASC), part[p_size])), 6)"}, ["part[p_type]"],
         "SELECT p_type, round(exp(avg(ln(p_size))), 6) AS g, round((SELECT ln(product(p_size)) FROM (SELECT p_size FROM part i WHERE i.p_type = o.p_type ORDER BY p_partkey LIMIT 3)), 6) AS p FROM part o GROUP BY p_type")
 grouped("agg_a_forms", {"a": "ROUND(AVERAGEA(orders[o_totalprice]), 4)", "t": "MAXA(orders[o_orderstatus])", "m": "ROUND(MINA(orders[o_totalprice]), 2)"}, ["orders[o_orderpriority]"],
-        "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS a, 0.0 AS t, round(min(o_totalprice), 2) AS m FROM orders GROUP BY 1")
+        "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS a, 0.0::DOUBLE AS t, round(min(o_totalprice), 2) AS m FROM orders GROUP BY 1")
 scalar("rank_eq", {"r": "RANK.EQ(50, lineitem[l_quantity])", "a": "RANK.EQ(50, lineitem[l_quantity], ASC)", "none": "RANK.EQ(-1, lineitem[l_quantity])"},
        "SELECT count(*) FILTER (WHERE l_quantity > 50) + 1 AS r, count(*) FILTER (WHERE l_quantity < 50) + 1 AS a, CAST(NULL AS BIGINT) AS none FROM lineitem")
 scalar("linest", {"slope": "ROUND(SUMX(LINEST(lineitem[l_extendedprice], lineitem[l_quantity]), [Slope1]), 6)", "intercept": "ROUND(SUMX(LINESTX(lineitem, lineitem[l_extendedprice], lineitem[l_quantity]), [Intercept]), 3)"},
@@ -98,7 +98,7 @@ scalar("approx_distinct", {"near": "ABS(APPROXIMATEDISTINCTCOUNT(orders[o_custke
 
 # -- iterators -----------------------------------------------------------------
 scalar("sumx_related", {"v": "ROUND(SUMX(lineitem, lineitem[l_quantity] * RELATED(part[p_retailprice])), 2)", "n": "SUMX(orders, RELATED(nation[n_nationkey]))"},
-       "SELECT (SELECT round(sum(l_quantity * p_retailprice), 2) FROM lineitem JOIN part ON l_partkey = p_partkey) AS v, (SELECT sum(c_nationkey) FROM orders JOIN customer ON o_custkey = c_custkey) AS n")
+       "SELECT (SELECT round(sum(l_quantity * p_retailprice), 2) FROM lineitem JOIN part ON l_partkey = p_partkey) AS v, (SELECT sum(c_nationkey)::BIGINT FROM orders JOIN customer ON o_custkey = c_custkey) AS n")
 grouped("averagex_values", {"a": "ROUND(AVERAGEX(VALUES(customer[c_mktsegment]), [Sales]), 0)"}, ["nation[n_name]"],
         f"SELECT n_name, round(avg(s), 0) AS a FROM (SELECT n_name, c_mktsegment, sum(o_totalprice) s FROM {_OCN} GROUP BY 1, 2) GROUP BY 1")
 grouped("rankx_customers", {"s": "ROUND([Sales], 2)", "r": "RANKX(ALL(nation[n_name]), [Sales])", "d": "RANKX(ALL(nation[n_name]), [Orders], , ASC, DENSE)"}, ["nation[n_name]"],
@@ -138,7 +138,7 @@ grouped("allselected_pct", {"share": "ROUND(DIVIDE([Sales], CALCULATE([Sales], A
         filters={"region.r_name": ["ASIA", "EUROPE"]})
 SQL["allselected_pct"] = SQL["allselected_pct"].replace("AS all ", 'AS "all" ')
 grouped("removefilters", {"own": "[Orders]", "every": "CALCULATE([Orders], REMOVEFILTERS())", "col": "CALCULATE([Orders], REMOVEFILTERS(orders[o_orderstatus]))"}, ["orders[o_orderstatus]", "orders[o_orderpriority]"],
-        "SELECT o_orderstatus, o_orderpriority, count(*) AS own, (SELECT count(*) FROM orders) AS every, sum(count(*)) OVER (PARTITION BY o_orderpriority) AS col FROM orders GROUP BY 1, 2")
+        "SELECT o_orderstatus, o_orderpriority, count(*) AS own, (SELECT count(*) FROM orders) AS every, (sum(count(*)) OVER (PARTITION BY o_orderpriority))::BIGINT AS col FROM orders GROUP BY 1, 2")
 table("values_distinct", "VALUES(lineitem[l_returnflag])", "SELECT DISTINCT l_returnflag FROM lineitem")
 grouped("selectedvalue", {"one": 'SELECTEDVALUE(orders[o_orderstatus], "many")', "has": "HASONEVALUE(orders[o_orderstatus])"}, ["orders[o_custkey]"],
         "SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) ELSE 'many' END AS one, count(DISTINCT o_orderstatus) = 1 AS has FROM orders GROUP BY 1")
@@ -167,7 +167,7 @@ def _half(spark: SparkSession, sf_dir: str) -> SemanticModel:
 custom("unknown_member", lambda spark, sf_dir: api.evaluate_grouped(_half(spark, sf_dir), {"n": "COUNTROWS(orders)", "k": "COUNTROWS(ALL(customer[c_mktsegment]))"}, ["customer[c_mktsegment]"], keep_blank=False),
        "SELECT c_mktsegment, count(*) AS n, (SELECT count(DISTINCT c_mktsegment) + 1 FROM customer WHERE c_custkey % 2 = 0) AS k FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey GROUP BY 1")
 scalar("lookupvalue", {"v": 'LOOKUPVALUE(nation[n_regionkey], nation[n_name], "NATION_8")', "none": 'LOOKUPVALUE(nation[n_regionkey], nation[n_name], "ATLANTIS", -1)', "x": "SUMX(customer, LOOKUPVALUE(nation[n_regionkey], nation[n_nationkey], customer[c_nationkey]))"},
-       "SELECT (SELECT n_regionkey FROM nation WHERE n_name = 'NATION_8') AS v, -1 AS none, (SELECT sum(n_regionkey) FROM customer JOIN nation ON c_nationkey = n_nationkey) AS x")
+       "SELECT (SELECT n_regionkey FROM nation WHERE n_name = 'NATION_8') AS v, -1 AS none, (SELECT sum(n_regionkey)::BIGINT FROM customer JOIN nation ON c_nationkey = n_nationkey) AS x")
 table("relatedtable_count", 'SELECTCOLUMNS(region, "name", region[r_name], "nations", COUNTROWS(RELATEDTABLE(nation)), "customers", COUNTROWS(RELATEDTABLE(customer)))',
       "SELECT r_name AS name, count(DISTINCT n_nationkey) AS nations, count(c_custkey) AS customers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 table("context_transition_filter", 'SELECTCOLUMNS(FILTER(customer, [Sales] > 3000000), "k", customer[c_custkey], "v", ROUND([Sales], 2))',
@@ -331,13 +331,13 @@ table("type_predicates", 'ROW("a", ISNUMBER(1), "b", ISTEXT("x"), "c", ISNONTEXT
 table("finance_annuity", 'SELECTCOLUMNS(FILTER(part, part[p_partkey] < 200), "k", part[p_partkey], "p", ROUND(PMT(0.05 / 12, part[p_size] + 12, part[p_retailprice]), 6), "f", ROUND(FV(0.01, part[p_size], -10, -part[p_retailprice]), 6), "v", ROUND(PV(0.01, part[p_size], -10), 6), "s", ROUND(SLN(part[p_retailprice], 10, part[p_size]), 6), "e", ROUND(EFFECT(0.05, 12), 8), "t", ROUND(TBILLPRICE(DATE(2008, 3, 31), DATE(2008, 6, 1), part[p_size] / 1000), 6))',
       "SELECT p_partkey AS k, round(-p_retailprice * pow(1 + 0.05 / 12, p_size + 12) * (0.05 / 12) / (pow(1 + 0.05 / 12, p_size + 12) - 1), 6) AS p, round(p_retailprice * pow(1.01, p_size) + 10 * (pow(1.01, p_size) - 1) / 0.01, 6) AS f, round(10 * (1 - pow(1.01, -p_size)) / 0.01, 6) AS v, round((p_retailprice - 10) / p_size, 6) AS s, round(pow(1 + 0.05 / 12, 12) - 1, 8) AS e, round(100 * (1 - p_size / 1000.0 * 62 / 360), 6) AS t FROM part WHERE p_partkey < 200")
 table("finance_depreciation", 'ROW("syd", ROUND(SYD(30000, 7500, 10, 1), 4), "ddb", ROUND(DDB(2400, 300, 10, 2), 4), "db", ROUND(DB(1000000, 100000, 6, 2, 7), 4), "vdb", ROUND(VDB(2400, 300, 10, 0, 1), 4), "rri", ROUND(RRI(96, 10000, 11000), 8))',
-      "SELECT 4090.9091 AS syd, 384.0 AS ddb, 259639.4167 AS db, 480.0 AS vdb, 0.00099331 AS rri")
+      "SELECT 4090.9091::DOUBLE AS syd, 384.0::DOUBLE AS ddb, 259639.4167::DOUBLE AS db, 480.0::DOUBLE AS vdb, 0.00099331::DOUBLE AS rri")
 table("finance_bond", 'ROW("price", ROUND(PRICE(DATE(2008, 2, 15), DATE(2017, 11, 15), 0.0575, 0.065, 100, 2, 0), 6), "yield", ROUND(YIELD(DATE(2008, 2, 15), DATE(2016, 11, 15), 0.0575, 95.04287, 100, 2, 0), 6), "dur", ROUND(DURATION(DATE(2008, 1, 1), DATE(2016, 1, 1), 0.08, 0.09, 2, 1), 6), "odd", ROUND(ODDFPRICE(DATE(2008, 11, 11), DATE(2021, 3, 1), DATE(2008, 10, 15), DATE(2009, 3, 1), 0.0785, 0.0625, 100, 2, 1), 6), "num", COUPNUM(DATE(2007, 1, 25), DATE(2008, 11, 15), 2, 1))',
-      "SELECT 94.634362 AS price, 0.065 AS yield, 5.993775 AS dur, 113.597717 AS odd, 4 AS num")
+      "SELECT 94.634362::DOUBLE AS price, 0.065::DOUBLE AS yield, 5.993775::DOUBLE AS dur, 113.597717::DOUBLE AS odd, 4 AS num")
 table("dist_normal", 'SELECTCOLUMNS(FILTER(part, part[p_partkey] < 200), "k", part[p_partkey], "d", ROUND(NORM.S.DIST(part[p_size] / 25 - 1, FALSE), 8), "e", ROUND(EXPON.DIST(part[p_size] / 10, 2, TRUE), 8), "i", ROUND(NORM.INV(0.908789, 40, 1.5), 5))',
-      "SELECT p_partkey AS k, round(exp(-pow(p_size / 25.0 - 1, 2) / 2) / sqrt(2 * pi()), 8) AS d, round(1 - exp(-2 * (p_size / 10.0)), 8) AS e, 42.0 AS i FROM part WHERE p_partkey < 200")
+      "SELECT p_partkey AS k, round(exp(-pow(p_size / 25.0 - 1, 2) / 2) / sqrt(2 * pi()), 8) AS d, round(1 - exp(-2 * (p_size / 10.0)), 8) AS e, 42.0::DOUBLE AS i FROM part WHERE p_partkey < 200")
 table("dist_t_chisq_beta", 'ROW("t", ROUND(T.DIST.2T(1.959999998, 60), 6), "ti", ROUND(T.INV(0.75, 2), 6), "c", ROUND(CHISQ.INV.RT(0.05, 10), 5), "b", ROUND(BETA.INV(0.685470581, 8, 10), 6), "p", ROUND(POISSON.DIST(2, 5, TRUE), 6), "n", ROUND(CONFIDENCE.NORM(0.05, 2.5, 50), 6))',
-      "SELECT 0.054645 AS t, 0.816497 AS ti, 18.30704 AS c, 0.5 AS b, 0.124652 AS p, 0.692952 AS n")
+      "SELECT 0.054645::DOUBLE AS t, 0.816497::DOUBLE AS ti, 18.30704::DOUBLE AS c, 0.5::DOUBLE AS b, 0.124652::DOUBLE AS p, 0.692952::DOUBLE AS n")
 
 # -- catalog, profiles, tools --------------------------------------------------------------------
 table("info_tables_columns", 'SELECTCOLUMNS(INFO.RELATIONSHIPS(), "f", [FromTable], "c", [FromColumn], "t", [ToTable], "a", [IsActive])',

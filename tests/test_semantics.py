@@ -147,3 +147,15 @@ def test_format(spark):
     }
     row = api.evaluate(m, {f"c{i}": e for i, e in enumerate(cases)}).first()
     assert list(row) == list(cases.values())
+
+
+def test_spread_ranks_equal_one_window(spark):
+    from pyspark.sql import functions as F
+
+    from cubewright.operators.ranks import running
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("double").alias("v"), (F.col("id") % 3 + 1).alias("n"))
+    for down in (True, False):
+        one = running(df, "v", "n", down, True)
+        spread = running(df, "v", "n", down, True, small=0)
+        assert sorted(map(tuple, one.select("v", "__before", "__row").collect())) == sorted(map(tuple, spread.select("v", "__before", "__row").collect()))
