@@ -39,6 +39,7 @@ SIZES = (3, 4, 5)
 THRESHOLD = 0.3
 NEUTRAL = 8
 DECAY = 0.1
+STEPS = 750
 CACHE_WORDS = 500_000
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}@$!*']*")
 
@@ -73,7 +74,7 @@ def bag(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.
             known[word] = grams(word)
         np.add.at(weights, known[word], n / (total * len(known[word])))
     at = np.flatnonzero(weights)
-    return at, weights[at].astype(np.float32)
+    return at.astype(np.uint16), weights[at].astype(np.float32)
 
 
 class SubwordSoftmax:
@@ -83,7 +84,7 @@ class SubwordSoftmax:
         self.value, self.bias = value, bias
 
     @classmethod
-    def fit(cls, texts: list[str | None], labels: list[int], epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 7) -> SubwordSoftmax:
+    def fit(cls, texts: list[str | None], labels: list[int], steps: int = STEPS, batch: int = 128, rate: float = 0.02, seed: int = 7) -> SubwordSoftmax:
         y = np.asarray(labels, dtype=np.int64)
         share = float(y.mean()) if len(y) else 0.0
         if share in (0.0, 1.0):
@@ -93,7 +94,7 @@ class SubwordSoftmax:
         rng = np.random.default_rng(seed)
         params = [rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))]
         means, squares, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
+        for _ in range(max(1, round(steps * batch / len(y)))):
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
                 rows = order[at : at + batch]
@@ -135,14 +136,23 @@ class SubwordSoftmax:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> SubwordSoftmax:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, steps: int = STEPS) -> SubwordSoftmax:
     """Fit on at most ``max_train`` labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("labelled")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("labelled"), "labelled").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
-    got = rows.select("labelled", "text", "y").toArrow().sort_by([("labelled", "ascending"), ("text", "ascending")])
-    return SubwordSoftmax.fit(got["text"].to_pylist(), got["y"].to_pylist())
+    python_ready(docs.sparkSession)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        got.sort(key=lambda r: (r[0], r[1] or ""))
+        model = SubwordSoftmax.fit([r[1] for r in got], [r[2] for r in got], steps)
+        yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()]), pa.array([model.bias])], ["value", "bias"])
+
+    # One task fits the bounded sample; the driver gets the weights alone.
+    made = rows.select("labelled", "text", "y").repartition(1).mapInArrow(fitted, "value binary, bias double").first()
+    return SubwordSoftmax(np.frombuffer(made["value"], "<f4"), made["bias"]) if made else SubwordSoftmax.fit([], [])
 
 
 def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD) -> DataFrame:
