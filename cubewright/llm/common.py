@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubewright.workers import ship
+
 #: Rows per Arrow batch sent to Python workers: whole texts may be long, so a
 #: batch of the default 10,000 rows could outgrow a worker.
 ARROW_ROWS = 500
@@ -48,26 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SHIPPED: set[str] = set()
-
-
 def python_ready(spark: SparkSession) -> None:
-    """Send this package to the executors and keep Arrow batches small.
-
-    Executors need not have the package on their path; texts are whole and may
-    be very long.
-    """
+    """Send this package to the executors and keep Arrow batches small: texts are
+    whole and may be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if spark.sparkContext.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as folder:
-            with zipfile.ZipFile(at := f"{folder}/{top.name}.zip", "w") as out:
-                for file in sorted(top.rglob("*.py")):
-                    out.write(file, str(file.relative_to(top.parent)))
-            kept = shutil.copy(at, tempfile.mkdtemp(prefix="cubewright-"))
-        spark.sparkContext.addPyFile(kept)
-        _SHIPPED.add(spark.sparkContext.applicationId)
+    ship(spark)
 
 
 def ascii_lower(text: Column) -> Column:
