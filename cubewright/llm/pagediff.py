@@ -38,8 +38,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select button textarea form nav aside dialog menu footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-RAW = frozenset(("script", "style", "textarea", "title"))
 _CHROME = re.compile(r"^(ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice\w*|newsletter|subscribe\w*|signup|popup|modal|overlay|menu|nav\w*|breadcrumbs?|sidebar|side|aside|widgets?|header|masthead|footer|comments?|replies|respond|disqus|share|sharing|social|related|recommended|pagination|pager|copyright|login|search)$")
+_CHROME_END = re.compile(r"^(ads?|adverts?|banner|sidebar|menu|nav|navigation|navbar|footer|comments?|breadcrumbs?|popup|modal)$")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _SPACE = re.compile(r"\s+")
 
@@ -83,7 +83,7 @@ class _Blocks(HTMLParser):
             chrome, article = self._state()
             named = dict(attrs)
             words = f"{named.get('class') or ''} {named.get('id') or ''}".lower().replace("_", "-").split()
-            marked = any(_CHROME.match(part) for word in words for part in (word, word.split("-")[0]))
+            marked = any(_CHROME.match(word) or _CHROME.match(word.split("-")[0]) or _CHROME_END.match(word.split("-")[-1]) for word in words)
             own = tag in ("article", "main", "body", "html", "p", "h1", "h2", "h3")
             chrome = chrome or tag in SKIPPED or tag == "header" and not article or not own and marked or named.get("role") in _ROLES or "hidden" in named or tag == "article" and marked and article
             self.stack.append((tag, chrome, article or tag in ("article", "main") or named.get("role") == "main"))
