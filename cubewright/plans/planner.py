@@ -130,10 +130,15 @@ class Planner:
                 self._sub(inner, Sub(((table, path[-1].to_column),), frame.df, (at,), tuple(frame.carried)), [own])
                 return
         for edge in self.model.edges(fc.edges):
+            if edge.many_to_many and self.model.path_up(table, edge.from_table, fc.edges) is not None and all(self.model.path_up(edge.to_table, t, fc.edges) is not None for t, _ in item.cols):
+                _, frame = self.base(edge.to_table, FilterContext((item,), fc.edges), inner.parent)
+                at = self.reach(inner, table, (edge.from_table, edge.from_column), fc.edges)
+                self._sub(inner, Sub(((edge.from_table, edge.from_column),), frame.df, (f"{edge.to_table}[{edge.to_column}]",), tuple(frame.carried)), [at])
+                return
             if edge.to_table != table and self.model.path_up(table, edge.to_table, fc.edges) is None:
                 continue
             down = {t: self.model.path_up(edge.from_table, t, fc.edges) for t, _ in item.cols}
-            if any(p is None for p in down.values()) or not (edge.both or edge.many_to_many):
+            if any(p is None for p in down.values()) or not edge.both:
                 continue
             many, frame = self.base(edge.from_table, FilterContext((item,), fc.edges), inner.parent)
             at = self.reach(inner, table, (edge.to_table, edge.to_column), fc.edges)

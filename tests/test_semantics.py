@@ -159,3 +159,27 @@ def test_spread_ranks_equal_one_window(spark):
         one = running(df, "v", "n", down, True)
         spread = running(df, "v", "n", down, True, small=0)
         assert sorted(map(tuple, one.select("v", "__before", "__row").collect())) == sorted(map(tuple, spread.select("v", "__before", "__row").collect()))
+
+
+def test_many_to_many_and_both_ways(spark):
+    m = SemanticModel(spark)
+    m.add_table("F", spark.createDataFrame([(1, 10), (1, 20), (2, 5), (3, 1)], "k long, v long")).add_table("G", spark.createDataFrame([(1, "a"), (1, "b"), (2, "b")], "k long, c string"))
+    m.relate("F[k]", "G[k]", many_to_many=True)
+    assert groups(api.evaluate_grouped(m, {"v": "SUM(F[v])"}, ["G[c]"]), "c", "v") == {"a": 30, "b": 35}
+    assert one(m, "SUM(F[v])", filters={"G.c": ["b"]}) == 35 and one(m, "SUM(F[v])") == 36
+    bridge = SemanticModel(spark)
+    bridge.add_table("Cust", spark.createDataFrame([(1, "x"), (2, "y")], "id long, n string")).add_table("Link", spark.createDataFrame([(1, 7), (1, 8), (2, 8)], "cust long, acc long")).add_table("Acc", spark.createDataFrame([(7, 100), (8, 50)], "id long, bal long"))
+    bridge.relate("Link[cust]", "Cust[id]").relate("Link[acc]", "Acc[id]", both=True)
+    assert groups(api.evaluate_grouped(bridge, {"b": "SUM(Acc[bal])"}, ["Cust[n]"]), "n", "b") == {"x": 150, "y": 50}
+
+
+def test_table_constructors_and_nested_rows(spark):
+    m = conformance(spark)
+    rows = api.table_expression(m, '{("a", NAMEOF(K[grp]), 0), ("b", NAMEOF([Total V]), 1)}').collect()
+    assert [tuple(r) for r in rows] == [("a", "'K'[grp]", 0), ("b", "'F'[Total V]", 1)]
+    assert one(m, "SUMX(K, VAR k = K[k] RETURN SUMX(FILTER(F, F[k] = k), F[v] * k))") == 100 + 50 + 400 + 900
+    assert one(m, "SUMX({1, 2, 3}, [Value] * 2)") == 12
+    assert one(m, "SUMX(GENERATESERIES(1, 3), VAR n = [Value] RETURN SUMX(GENERATESERIES(1, n), [Value]))") == 10
+    assert one(m, "MAXX(VALUES(K[grp]), CALCULATE(SUM(F[v])))") == 350
+    assert one(m, 'COUNTROWS(FILTER(VALUES(K[grp]), [Total V] > 320))') == 1
+    assert one(m, "CALCULATE([Total V], FILTER(VALUES(K[grp]), [Total V] > 320))") == 350
