@@ -20,7 +20,7 @@ from cubewright.plans.values import Val, date, double, lit, same_type, text
 from cubewright.workers import ship
 
 from .filters import column_of
-from .ranks import running
+from .ranks import estimated_bytes, running
 from .tables import direction
 
 
@@ -77,7 +77,9 @@ def rank_x(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
         ahead = F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1))
         groups = groups.withColumn("__before", F.coalesce(ahead, F.lit(0))).withColumn("__row", F.row_number().over(over))
     else:
-        groups = running(groups, "__v", "__n", down, kind in ("int", "dbl"))
+        tables = {o.lineage[0] for o in rel.cols if o.lineage}
+        size = sum(estimated_bytes(p.model.tables[t]) for t in tables) if tables else estimated_bytes(groups)
+        groups = running(groups, "__v", "__n", down, kind in ("int", "dbl"), size)
     rank = F.col("__row") if dense else F.col("__before") + 1
     groups = groups.withColumn("__r", rank).withColumn("__next", rank + (1 if dense else F.col("__n")))
     names = {k: fresh("on") for k in keys}

@@ -19,10 +19,13 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def running(df: DataFrame, value: str, weight: str, down: bool, numeric: bool, small: int = SMALL) -> DataFrame:
-    """``df`` of distinct values with __before (weights of the values ahead) and __row (its 1-based position)."""
+def running(df: DataFrame, value: str, weight: str, down: bool, numeric: bool, size: int) -> DataFrame:
+    """``df`` of distinct values with __before (weights of the values ahead) and __row (its 1-based position).
+
+    ``size``: bytes of the tables whose rows the values come from.
+    """
     order = F.col(value).desc() if down else F.col(value).asc()
-    if not numeric or estimated_bytes(df) < small:
+    if not numeric or size < SMALL:
         over = Window.orderBy(order)
         ahead = F.sum(weight).over(over.rowsBetween(Window.unboundedPreceding, -1))
         return df.withColumn("__before", F.coalesce(ahead, F.lit(0))).withColumn("__row", F.row_number().over(over))

@@ -16,8 +16,20 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+_OPEN: dict[tuple, SemanticModel] = {}
+
+
 def tpch(spark: SparkSession, sf_dir: str) -> SemanticModel:
-    """The star schema: every key of a many side is known to resolve."""
+    """The star schema, opened once per session: a model is a description, no data is kept."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = _opened(spark, sf_dir)
+    return _OPEN[key].copy()
+
+
+def _opened(spark: SparkSession, sf_dir: str) -> SemanticModel:
+    """Every key of a many side is known to resolve."""
     m = SemanticModel(spark, "Trade")
     keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id"}
     for t, key in keys.items():
