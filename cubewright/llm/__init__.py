@@ -1,0 +1 @@
+"""Operators for training corpora: one module each."""
