@@ -1,0 +1 @@
+"""Functions of the language by family; ``registry`` loads them all."""

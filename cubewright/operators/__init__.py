@@ -1,0 +1 @@
+"""Operators that shape rows and filter contexts, and the data tools."""

@@ -1,0 +1 @@
+"""From text to plans: syntax trees, values, contexts, the planner."""
