@@ -15,15 +15,18 @@ from cubewright.workers import ship
 ARROW_ROWS = 500
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, one machine) a temporary folder is set once.
+    Where it is unset (tests, one machine) a temporary folder is made once per application.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cubewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="cubewright-")
     return at.rstrip("/")
 
 
