@@ -5,8 +5,9 @@ regular expressions, gazetteers and context words; they vote for, against, or
 abstain. Over all candidates of the corpus the votes are counted by pattern (a
 small table), and expectation-maximisation estimates each labeler's reliability
 and the share of true spans without any labels. The posteriors train a final
-logistic span classifier on features of a bounded, documented sample of
-candidates; what it accepts is added to the base spans, which always stay.
+logistic span classifier on the features of all candidates, counted by (kind,
+votes, features): features are steps, so their distinct vectors are bounded
+whatever the corpus. What it accepts is added to the base spans, which always stay.
 
 Edge cases: null text counts as empty; base spans of different kinds may
 overlap, an added span never overlaps a base one of its kind; a corpus
@@ -29,8 +30,6 @@ from .common import python_ready, stored
 
 KINDS = ("email", "ip", "card", "phone", "name", "id")
 BASE = KINDS[:4]
-#: Candidates whose features fit the final classifier, at most.
-MAX_FIT = 20_000
 
 # The base patterns of the contract.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -124,8 +123,9 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
     v = votes(kind, text, a, b)
     near = set(left) | set(right)
     digits = sum(c.isdigit() for c in span)
+    steps = [min(3, len(near & FOR[kind])) / 2, min(3, len(near & AGAINST)) / 2, round(10 * digits / max(1, len(span))) / 10, min(len(span), 60) // 5 / 12]
     row = [1.0, *(float(kind == k) for k in CANDIDATES), *(float(x == 1) for x in v), *(float(x == 0) for x in v)]
-    return row + [len(near & FOR[kind]) / 2, len(near & AGAINST) / 2, digits / max(1, len(span)), min(len(span), 60) / 60, float(a == 0 or text[a - 1].isspace())]
+    return [*row, *steps, float(a == 0 or text[a - 1].isspace())]
 
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
@@ -162,12 +162,12 @@ def posterior(v: np.ndarray, share: float, hit: np.ndarray, miss: np.ndarray) ->
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_classifier(x: np.ndarray, q: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels by gradient steps."""
+def fit_classifier(x: np.ndarray, q: np.ndarray, n: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Logistic regression on soft labels by gradient steps; row i stands for ``n[i]`` candidates."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        w -= 1.0 * (x.T @ (p - q) / len(x) + 1e-4 * w)
+        w -= 1.0 * (x.T @ (n * (p - q)) / n.sum() + 1e-4 * w)
     return w
 
 
@@ -192,19 +192,18 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def find(docs: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone,
     base_sha256, spans, n_added."""
     python_ready(docs.sparkSession)
     seen = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_found, _SPANS), "spans")
     each = seen.select(F.explode("cand").alias("c")).select("c.*")
-    # At most 3 ** N_LABELERS patterns, counted over the whole corpus.
-    patterns = [(tuple(map(int, r["votes"].split(","))), r["count"]) for r in each.groupBy("votes").count().collect()]
-    share, hit, miss = estimate(sorted(patterns))
-    sample = each.select("votes", "x", F.xxhash64("kind", "votes", "x").alias("h")).orderBy("h").limit(max_fit).toArrow()
-    x = np.array(sample["x"].to_pylist(), dtype=np.float64)
-    v = np.array([list(map(int, s.split(","))) for s in sample["votes"].to_pylist()], dtype=np.int64)
-    w = fit_classifier(x, posterior(v, share, hit, miss)) if len(x) else np.zeros(1)
+    # All candidates, counted by what the fit sees of them: few rows, however many candidates.
+    counted = sorted((r["votes"], r["x"], r["count"]) for r in each.groupBy("kind", "votes", "x").count().collect())
+    v = np.array([list(map(int, s.split(","))) for s, _, _ in counted], dtype=np.int64).reshape(-1, N_LABELERS)
+    n = np.array([c for _, _, c in counted], dtype=np.float64)
+    share, hit, miss = estimate(list(zip(map(tuple, v.tolist()), n)))
+    w = fit_classifier(np.array([x for _, x, _ in counted], dtype=np.float64), posterior(v, share, hit, miss), n) if counted else np.zeros(1)
     weights = "array(" + ",".join(f"{q!r}D" for q in map(float, w)) + ")"
     accepted = F.expr(f"transform(filter(cand, c -> aggregate(zip_with(c.x, {weights}, (a, b) -> a * b), 0D, (s, t) -> s + t) > 0D), c -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), c.kind) AS k, c.start AS s, concat(c.kind, ':', c.start, ':', c.end) AS t))")
     based = F.expr(f"transform(base, b -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), split_part(b, ':', 1)) AS k, int(split_part(b, ':', 2)) AS s, b AS t))")

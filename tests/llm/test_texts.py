@@ -89,6 +89,17 @@ def test_labelers_are_weighed():
     assert abs(share - 0.4) < 0.12 and hit[0] > hit[2] and miss[0] < miss[2]
 
 
+def test_all_candidates_fit_the_classifier(spark, monkeypatch):
+    """Two kinds of over 20,000 equal candidates each: both are seen, with their counts."""
+    texts = ["passport 123-45-6789 of\n" * 21_000, "Dear Mrs. Smith and\n" * 21_000, "ssn 923-45-6789 x"]
+    seen, fit = [], pii.fit_classifier
+    monkeypatch.setattr(pii, "fit_classifier", lambda x, *more: seen.append((x, *more)) or fit(x, *more))
+    pii.find(documents(spark, texts)).count()
+    (x, _, n), kinds = seen[0], list(pii.CANDIDATES)
+    assert n.sum() == 42_001
+    assert {k: n[x[:, 1 + kinds.index(k)] == 1].sum() for k in ("id", "name")} == {"id": 21_001, "name": 21_000}
+
+
 def toxic_corpus(n, seed):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("aeiourtnslm") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
