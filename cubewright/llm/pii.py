@@ -1,6 +1,7 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
-Candidate spans come from cheap patterns. Three kinds of labelers vote on each:
+Candidates are the base spans and what cheap patterns, a gazetteer of first names
+and context words propose beside them. Three kinds of labelers vote on each:
 regular expressions, gazetteers and context words; they vote for, against, or
 abstain. Over all candidates of the corpus the votes are counted by pattern (a
 small table), and expectation-maximisation estimates each labeler's reliability
@@ -11,7 +12,7 @@ whatever the corpus. What it accepts is added to the base spans, which always st
 
 Edge cases: null text counts as empty; base spans of different kinds may
 overlap, an added span never overlaps a base one of its kind; a corpus
-without candidates gets base spans only; repeated rows stay; an empty table
+without candidates gets no spans; repeated rows stay; an empty table
 gives an empty result.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,14 +53,24 @@ FOR = {
     "id": frozenset("ssn passport id identity social security number ausweis".split()),
 }
 AGAINST = frozenset("version page chapter figure table section total price order isbn part model".split())
+#: Calling codes and first digits of card issuers.
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 351 352 353 358 380 420".split())
+_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[4-7]|6")
+#: Proposed beside the base spans; what a group holds is the span, else the match.
 CANDIDATES = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]+(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z]{2,})+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]| dot |\.)[0-9]{1,3}){3}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{4}([ .-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ .-])[0-9]{6}\2[0-9]{5})(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
     "id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? [A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)?"),
 }
+_SURNAMES = r"(?:[-' ][A-ZÀ-Þ][a-zà-ÿ]+){1,2}"
+#: Names without a title: a first name of the gazetteer and a surname; two capitalised words after a context word.
+_FIRST = re.compile("(?:" + "|".join(sorted(n.capitalize() for n in FIRST_NAMES)) + ")" + _SURNAMES)
+_SAID = re.compile(r"(?:[Nn]amed|[Dd]ear|[Rr]egards|[Ss]incerely|[Ss]igned|[Cc]ontact|[Bb]y)\b[,:]?\s+([A-ZÀ-Þ][a-zà-ÿ]+" + _SURNAMES + ")")
 #: What a text must hold for the pattern to be tried at all.
-HINTS = {"email": re.compile(r"\bat\b|\[at|\(at"), "phone": re.compile(r"[0-9]{3}[-. ][0-9]{4}"), "id": re.compile(r"[0-9]-[0-9]{2}-"), "name": re.compile(r"Mr|Ms|Dr\b|Dr\.|Prof|Herr|Frau|Monsieur|Madame|Señor")}
+HINTS = {"email": re.compile(r"\bat\b|\[at|\(at"), "ip": re.compile(r"[0-9](?:\[|\(|\.| dot )"), "card": re.compile(r"[0-9]{4}[ .-]?[0-9]{4}"), "phone": re.compile(r"[0-9]{3}[-. ][0-9]{4}"), "id": re.compile(r"[0-9]-[0-9]{2}-"), "name": re.compile(r"Mr|Ms|Dr\b|Dr\.|Prof|Herr|Frau|Monsieur|Madame|Señor")}
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 N_LABELERS = 3
 CONTEXT = 40
@@ -108,14 +120,28 @@ def _context(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
 def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
     """Each labeler's vote: 1 for, 0 against, -1 abstains."""
     span, (left, right) = text[a:b], _context(text, a, b)
-    shape = {"email": "[at]" in span or "(at)" in span or "dot" in span, "phone": span[0] == "(" or span.count("-") == 2, "id": span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00", "name": " " in span}[kind]
-    by_pattern = 1 if shape else 0
     parts = _TOKEN.findall(span.lower())
-    known = any(p in FIRST_NAMES for p in parts) or any(p in TITLES for p in parts) if kind == "name" else kind == "email" and parts[-1] in ("com", "org", "net", "edu", "de", "fr", "es")
-    by_gazetteer = 1 if known else (0 if kind == "name" else -1)
+    digits = "".join(c for c in span if "0" <= c <= "9")
+    if kind == "email":
+        shape = "@" in span and len(parts[-1]) > 1 and parts[-1].isalpha() or "[at]" in span or "(at)" in span or "dot" in span
+        known = 1 if parts[-1] in ("com", "org", "net", "edu", "de", "fr", "es") else -1
+    elif kind == "ip":
+        octets = re.findall("[0-9]+", span)
+        shape = all(o == "0" or o[0] != "0" for o in octets)
+        known = int(0 < int(octets[0]) < 224)
+    elif kind == "card":
+        shape = len(digits) in (15, 16) and len({c for c in span if c not in digits}) < 2
+        known = int(bool(_ISSUER.match(digits)))
+    elif kind == "phone":
+        shape = span[0] == "(" or span.count("-") == 2 or span[0] == "+" and not span[1:].isdigit()
+        known = int(any(digits[:k] in CALLING for k in (1, 2, 3))) if span[0] == "+" else -1
+    elif kind == "id":
+        shape, known = span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00", -1
+    else:
+        shape, known = " " in span, int(any(p in FIRST_NAMES or p in TITLES for w in parts for p in (w, *w.split("-"))))
     near = set(left) | set(right)
     by_context = 1 if near & FOR[kind] else (0 if near & AGAINST else -1)
-    return by_pattern, by_gazetteer, by_context
+    return int(shape), known, by_context
 
 
 def features(kind: str, text: str, a: int, b: int) -> list[float]:
@@ -124,18 +150,38 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
     near = set(left) | set(right)
     digits = sum(c.isdigit() for c in span)
     steps = [min(3, len(near & FOR[kind])) / 2, min(3, len(near & AGAINST)) / 2, round(10 * digits / max(1, len(span))) / 10, min(len(span), 60) // 5 / 12]
-    row = [1.0, *(float(kind == k) for k in CANDIDATES), *(float(x == 1) for x in v), *(float(x == 0) for x in v)]
+    row = [1.0, *(float(kind == k) for k in KINDS), *(float(x == 1) for x in v), *(float(x == 0) for x in v)]
     return [*row, *steps, float(a == 0 or text[a - 1].isspace())]
 
 
-def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Spans the labelers vote on: none that touches a base span of its kind."""
-    out = []
+def _proposed(text: str) -> Iterator[Span]:
     for kind, pattern in CANDIDATES.items():
         if HINTS[kind].search(text):
-            taken = [(x, y) for k, x, y in base if k == kind or kind == "id" and k in ("phone", "card")]
-            out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if all(y <= m.start() or m.end() <= x for x, y in taken)]
-    return out
+            for m in pattern.finditer(text):
+                if kind == "ip" and any(int(o) > 255 for o in re.findall("[0-9]+", m[0])) or kind == "card" and not luhn("".join(c for c in m[0] if c.isdigit())):
+                    continue
+                yield kind, m.start(), m.end()
+    for pattern, group in ((_FIRST, 0), (_SAID, 1)):
+        for m in pattern.finditer(text):
+            if m.start() == 0 or not text[m.start() - 1].isalnum():
+                yield "name", *m.span(group)
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a:b touches none of ``taken``, which are sorted and apart."""
+    at = bisect_left(taken, (a, b))
+    return (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0])
+
+
+def candidates(text: str, base: list[Span]) -> list[Span]:
+    """Spans the labelers vote on: the base spans first, then those proposed
+    that touch no candidate of their kind."""
+    out = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
+    for kind, a, b in _proposed(text):
+        if all(_free(out[k], a, b) for k in ((kind, "phone", "card") if kind == "id" else (kind,))):
+            insort(out[kind], (a, b))
+    own = set(base)
+    return base + [s for kind in KINDS for a, b in out[kind] if (s := (kind, a, b)) not in own]
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, np.ndarray, np.ndarray]:
@@ -171,11 +217,11 @@ def fit_classifier(x: np.ndarray, q: np.ndarray, n: np.ndarray, rounds: int = 30
     return w
 
 
-_SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<string>, cand array<struct<kind:string,start:int,end:int,votes:string,x:array<float>>>"
+_SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<string>, cand array<struct<kind:string,start:int,end:int,base:boolean,votes:string,x:array<float>>>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cand = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.string()), ("x", pa.list_(pa.float32()))]))
+    cand = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("x", pa.list_(pa.float32()))]))
     for batch in batches:
         counts, shas, bases, cands = [[], [], [], []], [], [], []
         for text in batch.column(1).to_pylist():
@@ -185,7 +231,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[k].append(sum(s[0] == kind for s in base))
             bases.append(said := [f"{k}:{a}:{b}" for k, a, b in base])
             shas.append(hashlib.sha256(",".join(said).encode()).hexdigest())
-            cands.append([{"kind": k, "start": a, "end": b, "votes": ",".join(map(str, votes(k, text, a, b))), "x": features(k, text, a, b)} for k, a, b in candidates(text, base)])
+            cands.append([{"kind": k, "start": a, "end": b, "base": i < len(base), "votes": ",".join(map(str, votes(k, text, a, b))), "x": features(k, text, a, b)} for i, (k, a, b) in enumerate(candidates(text, base))])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas), pa.array(bases, pa.list_(pa.string())), pa.array(cands, cand)],
             ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "cand"],
@@ -205,7 +251,7 @@ def find(docs: DataFrame) -> DataFrame:
     share, hit, miss = estimate(list(zip(map(tuple, v.tolist()), n)))
     w = fit_classifier(np.array([x for _, x, _ in counted], dtype=np.float64), posterior(v, share, hit, miss), n) if counted else np.zeros(1)
     weights = "array(" + ",".join(f"{q!r}D" for q in map(float, w)) + ")"
-    accepted = F.expr(f"transform(filter(cand, c -> aggregate(zip_with(c.x, {weights}, (a, b) -> a * b), 0D, (s, t) -> s + t) > 0D), c -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), c.kind) AS k, c.start AS s, concat(c.kind, ':', c.start, ':', c.end) AS t))")
+    accepted = F.expr(f"transform(filter(cand, c -> NOT c.base AND aggregate(zip_with(c.x, {weights}, (a, b) -> a * b), 0D, (s, t) -> s + t) > 0D), c -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), c.kind) AS k, c.start AS s, concat(c.kind, ':', c.start, ':', c.end) AS t))")
     based = F.expr(f"transform(base, b -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), split_part(b, ':', 1)) AS k, int(split_part(b, ':', 2)) AS s, b AS t))")
     spans = F.array_join(F.transform(F.array_sort(F.concat(based, accepted)), lambda s: s["t"]), ",")
     return seen.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.size(accepted).cast("long").alias("n_added"))

@@ -89,13 +89,29 @@ def test_labelers_are_weighed():
     assert abs(share - 0.4) < 0.12 and hit[0] > hit[2] and miss[0] < miss[2]
 
 
+def test_every_span_is_voted_on(spark, monkeypatch):
+    """Base spans of all kinds, names without a title, obfuscated addresses and cut card numbers are candidates."""
+    texts = ["mail a@b.com", "login from 10.1.2.3 and 10[.]1[.]2[.]4", "visa 4111 1111 1111 1111 then 4111 1111 1111 1111 12", "phone +1 (523) 555-1055", "ssn 123-45-6789"]
+    texts += ["yesterday Peter Miller came", "a contract signed Ada Lovelace here", "xPeter Miller by Peter Brown"]
+    spans = lambda t: [f"{k}:{t[a:b]}" for k, a, b in pii.candidates(t, pii.base_spans(t))]
+    assert [spans(t) for t in texts] == [
+        ["email:a@b.com"], ["ip:10.1.2.3", "ip:10[.]1[.]2[.]4"], ["card:4111 1111 1111 1111", "card:4111 1111 1111 1111"], ["phone:+1 (523) 555-1055"],
+        ["id:123-45-6789"], ["name:Peter Miller"], ["name:Ada Lovelace"], ["name:Peter Brown"],
+    ]
+    seen, fit = [], pii.fit_classifier
+    monkeypatch.setattr(pii, "fit_classifier", lambda x, q, n: seen.append(n.sum()) or fit(x, q, n))
+    rows = pii.find(documents(spark, texts * 20)).collect()
+    assert seen == [200] and all(r["n_added"] >= 0 and set(brute_base(texts[r["doc_id"] % 8])) <= set(r["spans"].split(",")) for r in rows)
+    assert any("name" in r["spans"] for r in rows if r["doc_id"] % 8 == 5)
+
+
 def test_all_candidates_fit_the_classifier(spark, monkeypatch):
     """Two kinds of over 20,000 equal candidates each: both are seen, with their counts."""
     texts = ["passport 123-45-6789 of\n" * 21_000, "Dear Mrs. Smith and\n" * 21_000, "ssn 923-45-6789 x"]
     seen, fit = [], pii.fit_classifier
     monkeypatch.setattr(pii, "fit_classifier", lambda x, *more: seen.append((x, *more)) or fit(x, *more))
     pii.find(documents(spark, texts)).count()
-    (x, _, n), kinds = seen[0], list(pii.CANDIDATES)
+    (x, _, n), kinds = seen[0], list(pii.KINDS)
     assert n.sum() == 42_001
     assert {k: n[x[:, 1 + kinds.index(k)] == 1].sum() for k in ("id", "name")} == {"id": 21_001, "name": 21_000}
 
