@@ -104,15 +104,19 @@ class _Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Unknown ``<![`` sections are bogus comments up to the next ``>``, as browsers have it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
 
 def blocks(html: str | None) -> list[tuple[str, bool, bool, bool]]:
     """(text, chrome, article, prose) of each block of the whole page."""
     parser = _Blocks()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # malformed declarations end the parse; what came before stays
-        pass
+    parser.feed(html or "")
+    parser.close()
     parser.flush()
     return parser.blocks
 

@@ -23,6 +23,11 @@ def test_blocks_and_chrome():
     assert pagediff.main_text(pagediff.blocks(html), None) == "Head & line\nOne two three\nFour <x> é\na\nb\ncode x"
 
 
+@pytest.mark.parametrize("section", ["<![foo[x]]>", "<![ x >", "<![if x]>", "<![CDATA[x]]>", "<![>"])
+def test_unknown_sections_lose_nothing_after(section):
+    assert [b[0] for b in pagediff.blocks(f"<p>a</p>{section}<p>b</p>")] == ["a", "b"]
+
+
 def test_shared_lines_go(spark):
     shell = lambda body: f"<body><div>Site name</div><div>Home About</div>{body}<div>All rights reserved</div></body>"
     rows = [(i, f"https://h.example/a/{i:02d}?x=1", shell(f"<p>Own text {i}</p><p>More {i}</p>")) for i in range(6)]
