@@ -2,7 +2,10 @@
 
 Pages are range-partitioned and sorted by host, URL path and page_id, so that a
 page's neighbour in the order is the page of the same host with the nearest
-path; a host with very many pages spreads over many partitions. The text blocks
+path; a host with very many pages spreads over many partitions. The ranges are
+cut over keys alone; each partition is also handed the last page of the one
+before it and the first of the one after it, so that neighbours don't depend on
+where the ranges end. The text blocks
 of a page and of its neighbour are aligned by a longest common subsequence, and
 shared blocks are deleted. Markup tells where differencing may delete: chrome
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes
@@ -11,7 +14,8 @@ even if the neighbour has the same words, as repeated sentences of authors are
 no boilerplate.
 
 Each page is compared with the page before it in the order, the first of a host
-(or of a partition) with the one after it. Edge cases: null html counts as
+with the one after it. Blocks are aligned in full at every size: time grows by
+the product of the two lengths over the bits of a machine word. Edge cases: null html counts as
 empty and gives an empty text; a null url sorts before others and has no host
 in common with any; the only page of a host has no neighbour; pages that are
 entire copies of their neighbour keep their blocks (else nothing would be left);
@@ -23,9 +27,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,24 +144,64 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     b = [other[j] for j in range(lo, m - hi) if other[j] in both]
     if not a or not b:
         return out
-    if len(a) * len(b) > 4_000_000:  # very long pages: longest matching runs instead of the full table
-        match = SequenceMatcher(None, [mine[i] for i in a], b, autojunk=False)
-        return out | {a[i + k] for i, _, size in match.get_matching_blocks() for k in range(size)}
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below, word = table[i], table[i + 1], mine[a[i]]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if word == b[j] else max(below[j], row[j + 1])
+    return out | {a[i] for i in _aligned([mine[i] for i in a], b)}
+
+
+def _aligned(a: list[str], b: list[str]) -> Iterator[int]:
+    """The positions in ``a`` of a longest common subsequence with ``b``.
+
+    Row i of the table, the lengths for a[i:] and every b[j:], is one integer:
+    bit m - 1 - j is 0 where b[j:] has one more than b[j + 1:]. Every step-th row
+    is held and those between are made again, so memory grows by the length
+    times the root of the length.
+    """
+    n, m = len(a), len(b)
+    ones, at = (1 << m) - 1, {}
+    for j, word in enumerate(b):
+        at.setdefault(word, []).append(m - 1 - j)
+
+    def bits(word: str) -> int:
+        out = bytearray(m // 8 + 1)
+        for k in at[word]:
+            out[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(out, "little")
+
+    frequent = {word: bits(word) for word, ks in at.items() if len(ks) > isqrt(m)}  # at most the root of m
+
+    def above(row: int, word: str) -> int:
+        hit = row & (frequent.get(word) or bits(word))
+        return ((row + hit) | (row - hit)) & ones
+
+    step = isqrt(n) + 1
+    held, row = {n: ones}, ones
+    for i in range(n - 1, -1, -1):
+        row = above(row, a[i])
+        if i % step == 0:
+            held[i] = row
+    rows: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        return m - j - (rows[i] & ((1 << (m - j)) - 1)).bit_count()
+
     i = j = 0
-    while i < len(a) and j < len(b):
-        if mine[a[i]] == b[j]:
-            out.add(a[i])
+    while i < n and j < m:
+        if i + 1 not in rows:
+            end = min(n, i - i % step + step)
+            rows = {end: held[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = above(rows[k + 1], a[k])
+            here, below = length(i, j), length(i + 1, j)
+        if a[i] == b[j]:
+            yield i
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+        elif below >= here - (not rows[i] >> (m - 1 - j) & 1):
             i += 1
         else:
+            here, below = here - (not rows[i] >> (m - 1 - j) & 1), below - (not rows[i + 1] >> (m - 1 - j) & 1)
             j += 1
-    return out
+            continue
+        if i + 1 in rows:
+            here, below = length(i, j), length(i + 1, j)
 
 
 def main_text(page: list, neighbour: list | None) -> str:
@@ -178,27 +223,50 @@ def _unpack(data: bytes) -> list:
     return json.loads(zlib.decompress(data).decode("utf-8", "surrogatepass"))
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [_pack(blocks(h)) for h in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary())], ["page_id", "url", "host", "path", "page"])
+def _key(host: str | None, path: str | None, page_id: int | None, url: str | None) -> tuple:
+    """Compares as Spark sorts: nulls first, strings by code point."""
+    return tuple((x is not None, x if x is not None else 0) for x in (host, path, page_id, url))
+
+
+def _parser(firsts: list[tuple], lasts: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Html in, packed blocks out, each row with its range; those at a range's
+    end a second time as a guest of the next range."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, urls, hosts, paths, htmls, ties = (c.to_pylist() for c in batch.columns)
+            rows = []
+            for row in zip(ids, urls, hosts, paths, ties, (_pack(blocks(h)) for h in htmls)):
+                key = _key(row[2], row[3], row[0], row[1])
+                at = max(0, bisect_right(firsts, key) - 1)
+                rows.append((*row, at, False))
+                if at + 1 < len(firsts) and key == lasts[at]:
+                    rows.append((*row, at + 1, True))
+                if at and key == firsts[at]:
+                    rows.append((*row, at - 1, True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_PARSED), _PARSED)], schema=_PARSED)
+
+    return parsed
+
+
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("tie", pa.int64()), ("page", pa.binary()), ("range", pa.int32()), ("guest", pa.bool_())])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages in, texts out; only two pages are held at a time."""
+    """Sorted pages in, texts of all but guests out; only three pages are held at a time."""
 
     def pages() -> Iterator[tuple]:
         for batch in batches:
-            for page_id, url, host, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-                yield page_id, url, host, _unpack(data)
+            for page_id, url, host, _, _, data, _, guest in zip(*(c.to_pylist() for c in batch.columns)):
+                yield page_id, url, host, _unpack(data), guest
 
     def texts() -> Iterator[tuple]:
         before, now = None, None
         for after in pages():
-            if now is not None:
+            if now is not None and not now[4]:
                 yield now[0], now[1], main_text(now[3], _near(now, before, after))
             before, now = now, after
-        if now is not None:
+        if now is not None and not now[4]:
             yield now[0], now[1], main_text(now[3], _near(now, before, None))
 
     rows: list[tuple] = []
@@ -229,6 +297,12 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, path string, page binary")
     order = ["host", "path", "page_id", "url"]
-    return parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Two keys a range come to the driver, no page does.
+    key = F.struct(*order)
+    cut = rows.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("at")).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    cut = sorted((_key(*r["first"]), _key(*r["last"])) for r in cut.collect())
+    parsed = rows.withColumn("tie", F.xxhash64("html")).mapInArrow(_parser([a for a, _ in cut], [b for _, b in cut]), "page_id long, url string, host string, path string, tie long, page binary, range int, guest boolean")
+    dealt = parsed.repartitionById(max(1, len(cut)), F.col("range")).sortWithinPartitions("range", *order, "tie")
+    return dealt.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

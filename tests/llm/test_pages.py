@@ -57,6 +57,36 @@ def test_alignment_is_longest():
         assert all(x in at for x in (a[i] for i in same))
 
 
+def test_alignment_is_longest_at_size():
+    """What was aligned by runs beyond 4,000,000 pairs: a long run that only crosses the longest."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(1500)]
+    a, b = words + [f"r{i}" for i in range(700)], [f"r{i}" for i in range(700)] + [w for x in words for w in (x, *([x] if rng.random() < 0.4 else []))]
+    assert len(a) * len(b) > 4_000_000 and len(pagediff.shared(a, b)) == brute_lcs(a, b) == 1500
+    same = [rng.choice("xyz") for _ in range(2500)], [rng.choice("xyz") for _ in range(2500)]
+    assert len(pagediff.shared(*same)) == brute_lcs(*same)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_neighbours_do_not_depend_on_partitions(spark, parts):
+    """One hot host over many ranges; repeated keys, and hosts of one and two pages."""
+    body = lambda i: f"<div>Site</div><div>Menu {i // 2}</div><p>Own {i}</p>"
+    rows = [(i, f"https://hot.example/{i // 3:03d}", body(i)) for i in range(60)] + [(90, "https://a.example/", body(90)), (91, "https://z.example/1", body(91)), (92, "https://z.example/2", body(92)), (20, "https://hot.example/006", body(20)), (20, "https://hot.example/006", body(7)), (93, None, None)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted((r["page_id"], r["text"]) for r in pagediff.extract(pages(spark, rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    by = sorted(rows[:60], key=lambda r: (r[1], r[0]))
+    assert len(got) == len(rows) and len(got) - len({i for i, _ in got}) == 2
+    for (i, *_), (before, *_) in zip(by[1:], by):
+        if i not in (20, 21):
+            text = [t for k, t in got if k == i]
+            assert text == [f"Own {i}" if before // 2 == i // 2 else f"Menu {i // 2}\nOwn {i}"]
+    assert (0, "Own 0") in got and (91, "Menu 45\nOwn 91") in got and (90, "Site\nMenu 45\nOwn 90") in got
+
+
 def test_round_trip(spark):
     inner = warc.record(7, "u", b"nested", warc.digest(b"nested"), 6, None)
     rows = [(3, "http://a/1", "same"), (2, "http://a/2", "same"), (9, None, "same"), (4, "http://a/3", None), (5, "http://a/4", ""), (6, "http://a/\n5", "é" * 50_000), (7, "u", "x\x1f\x8b\x08 WARC/1.1 \r\n\r\n"), (8, "u", "".join(chr(b) for b in inner)), (None, "u", "lost")]
