@@ -123,7 +123,9 @@ grouped("minx_maxx", {"lo": "ROUND(MINX(lineitem, lineitem[l_extendedprice] * (1
         "SELECT l_returnflag, round(min(l_extendedprice * (1 - l_discount)), 4) AS lo, (SELECT round(max(q), 2) FROM (SELECT sum(l_quantity) q FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY l_linestatus)) AS hi FROM lineitem o GROUP BY 1")
 scalar("xnpv", {"v": "ROUND(XNPV(TOPN(200, orders, orders[o_orderkey], ASC), orders[o_totalprice], orders[o_orderdate], 0.05), 2)"},
        "WITH t AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) SELECT round(sum(o_totalprice / pow(1.05, date_diff('day', (SELECT min(o_orderdate) FROM t), o_orderdate) / 365.0)), 2) AS v FROM t")
-scalar("xirr", {"r": "ROUND(XIRR(FILTER(orders, orders[o_orderkey] < 40), IF(MOD(orders[o_orderkey], 2) = 0, orders[o_totalprice], -orders[o_totalprice] * 0.5), orders[o_orderdate]), 6)"}, "")
+scalar("xnpv_all", {"v": "ROUND(XNPV(orders, orders[o_totalprice], orders[o_orderdate], 0.05), 2)"},
+       "SELECT round(sum(o_totalprice / pow(1.05, date_diff('day', (SELECT min(o_orderdate) FROM orders), o_orderdate) / 365.0)), 2) AS v FROM orders")
+grouped("xirr", {"r": "ROUND(XIRR(orders, IF(MOD(orders[o_orderkey], 2) = 0, orders[o_totalprice], -orders[o_totalprice] * 0.5), orders[o_orderdate]), 6)"}, ["customer[c_custkey]"], "", keep_blank=True)
 SQL.pop("xirr")
 
 # -- filter context ----------------------------------------------------------------
@@ -178,6 +180,17 @@ def _half(spark: SparkSession, sf_dir: str) -> SemanticModel:
 
 custom("unknown_member", lambda spark, sf_dir: api.evaluate_grouped(_half(spark, sf_dir), {"n": "COUNTROWS(orders)", "k": "COUNTROWS(ALL(customer[c_mktsegment]))"}, ["customer[c_mktsegment]"], keep_blank=False),
        "SELECT c_mktsegment, count(*) AS n, (SELECT count(DISTINCT c_mktsegment) + 1 FROM customer WHERE c_custkey % 2 = 0) AS k FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey GROUP BY 1")
+
+
+def _doubled(spark: SparkSession, sf_dir: str) -> SemanticModel:
+    """All customers under doubled keys: orders of odd or too large keys have no customer."""
+    m = SemanticModel(spark)
+    m.add_table("customer", spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("c_custkey", F.col("c_custkey") * 2), key="c_custkey").add_table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"), key="o_orderkey")
+    return m.relate("orders[o_custkey]", "customer[c_custkey]")
+
+
+custom("unknown_member_all", lambda spark, sf_dir: api.evaluate_grouped(_doubled(spark, sf_dir), {"n": "COUNTROWS(orders)", "k": "COUNTROWS(ALL(customer[c_mktsegment]))"}, ["customer[c_mktsegment]"], keep_blank=False),
+       "SELECT c_mktsegment, count(*) AS n, (SELECT count(DISTINCT c_mktsegment) + 1 FROM customer) AS k FROM orders LEFT JOIN customer ON o_custkey = c_custkey * 2 GROUP BY 1")
 scalar("lookupvalue", {"v": 'LOOKUPVALUE(nation[n_regionkey], nation[n_name], "NATION_8")', "none": 'LOOKUPVALUE(nation[n_regionkey], nation[n_name], "ATLANTIS", -1)', "x": "SUMX(customer, LOOKUPVALUE(nation[n_regionkey], nation[n_nationkey], customer[c_nationkey]))"},
        "SELECT (SELECT n_regionkey FROM nation WHERE n_name = 'NATION_8') AS v, -1 AS none, (SELECT sum(n_regionkey)::BIGINT FROM customer JOIN nation ON c_nationkey = n_nationkey) AS x")
 table("relatedtable_count", 'SELECTCOLUMNS(region, "name", region[r_name], "nations", COUNTROWS(RELATEDTABLE(nation)), "customers", COUNTROWS(RELATEDTABLE(customer)))',
@@ -340,14 +353,18 @@ table("switch_if", 'SELECTCOLUMNS(orders, "k", orders[o_orderkey], "a", SWITCH(o
       "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS a, CASE WHEN o_totalprice > 300000 THEN 3 WHEN o_totalprice > 100000 THEN 2 ELSE 1 END AS b, CASE WHEN o_totalprice > 250000 AND o_orderstatus <> 'F' THEN 'big' END AS c FROM orders")
 table("type_predicates", 'ROW("a", ISNUMBER(1), "b", ISTEXT("x"), "c", ISNONTEXT(BLANK()), "d", ISLOGICAL(TRUE), "e", ISINTEGER(1.5), "f", ISDATETIME(DATE(2024, 1, 1)), "g", ISEVEN(-4), "h", ISODD(3), "i", ISCURRENCY(CURRENCY(1)), "j", ISAFTER(1, 2, DESC, 3, 3), "k", ISONORAFTER(2, 2, ASC), "l", CONVERT("12.5", DOUBLE), "m", VALUE("1,234.5"), "n", IFERROR(VALUE("x"), -1), "o", ISERROR(1 / 0))',
       "SELECT TRUE AS a, TRUE AS b, TRUE AS c, TRUE AS d, FALSE AS e, TRUE AS f, TRUE AS g, TRUE AS h, TRUE AS i, TRUE AS j, TRUE AS k, 12.5::DOUBLE AS l, 1234.5::DOUBLE AS m, -1.0::DOUBLE AS n, TRUE AS o")
-table("finance_annuity", 'SELECTCOLUMNS(FILTER(part, part[p_partkey] < 200), "k", part[p_partkey], "p", ROUND(PMT(0.05 / 12, part[p_size] + 12, part[p_retailprice]), 6), "f", ROUND(FV(0.01, part[p_size], -10, -part[p_retailprice]), 6), "v", ROUND(PV(0.01, part[p_size], -10), 6), "s", ROUND(SLN(part[p_retailprice], 10, part[p_size]), 6), "e", ROUND(EFFECT(0.05, 12), 8), "t", ROUND(TBILLPRICE(DATE(2008, 3, 31), DATE(2008, 6, 1), part[p_size] / 1000), 6))',
+_ANNUITY = '"k", part[p_partkey], "p", ROUND(PMT(0.05 / 12, part[p_size] + 12, part[p_retailprice]), 6), "f", ROUND(FV(0.01, part[p_size], -10, -part[p_retailprice]), 6), "v", ROUND(PV(0.01, part[p_size], -10), 6), "s", ROUND(SLN(part[p_retailprice], 10, part[p_size]), 6), "e", ROUND(EFFECT(0.05, 12), 8), "t", ROUND(TBILLPRICE(DATE(2008, 3, 31), DATE(2008, 6, 1), part[p_size] / 1000), 6))'
+table("finance_annuity", "SELECTCOLUMNS(FILTER(part, part[p_partkey] < 200), " + _ANNUITY,
       "SELECT p_partkey AS k, round(-p_retailprice * pow(1 + 0.05 / 12, p_size + 12) * (0.05 / 12) / (pow(1 + 0.05 / 12, p_size + 12) - 1), 6) AS p, round(p_retailprice * pow(1.01, p_size) + 10 * (pow(1.01, p_size) - 1) / 0.01, 6) AS f, round(10 * (1 - pow(1.01, -p_size)) / 0.01, 6) AS v, round((p_retailprice - 10) / p_size, 6) AS s, round(pow(1 + 0.05 / 12, 12) - 1, 8) AS e, round(100 * (1 - p_size / 1000.0 * 62 / 360), 6) AS t FROM part WHERE p_partkey < 200")
+table("finance_annuity_all", "SELECTCOLUMNS(part, " + _ANNUITY, SQL["finance_annuity"].removesuffix(" WHERE p_partkey < 200"))
 table("finance_depreciation", 'ROW("syd", ROUND(SYD(30000, 7500, 10, 1), 4), "ddb", ROUND(DDB(2400, 300, 10, 2), 4), "db", ROUND(DB(1000000, 100000, 6, 2, 7), 4), "vdb", ROUND(VDB(2400, 300, 10, 0, 1), 4), "rri", ROUND(RRI(96, 10000, 11000), 8))',
       "SELECT 4090.9091::DOUBLE AS syd, 384.0::DOUBLE AS ddb, 259639.4167::DOUBLE AS db, 480.0::DOUBLE AS vdb, 0.00099331::DOUBLE AS rri")
 table("finance_bond", 'ROW("price", ROUND(PRICE(DATE(2008, 2, 15), DATE(2017, 11, 15), 0.0575, 0.065, 100, 2, 0), 6), "yield", ROUND(YIELD(DATE(2008, 2, 15), DATE(2016, 11, 15), 0.0575, 95.04287, 100, 2, 0), 6), "dur", ROUND(DURATION(DATE(2008, 1, 1), DATE(2016, 1, 1), 0.08, 0.09, 2, 1), 6), "odd", ROUND(ODDFPRICE(DATE(2008, 11, 11), DATE(2021, 3, 1), DATE(2008, 10, 15), DATE(2009, 3, 1), 0.0785, 0.0625, 100, 2, 1), 6), "num", COUPNUM(DATE(2007, 1, 25), DATE(2008, 11, 15), 2, 1))',
       "SELECT 94.634362::DOUBLE AS price, 0.065::DOUBLE AS yield, 5.993775::DOUBLE AS dur, 113.597717::DOUBLE AS odd, 4 AS num")
-table("dist_normal", 'SELECTCOLUMNS(FILTER(part, part[p_partkey] < 200), "k", part[p_partkey], "d", ROUND(NORM.S.DIST(part[p_size] / 25 - 1, FALSE), 8), "e", ROUND(EXPON.DIST(part[p_size] / 10, 2, TRUE), 8), "i", ROUND(NORM.INV(0.908789, 40, 1.5), 5))',
+_NORMAL = '"k", part[p_partkey], "d", ROUND(NORM.S.DIST(part[p_size] / 25 - 1, FALSE), 8), "e", ROUND(EXPON.DIST(part[p_size] / 10, 2, TRUE), 8), "i", ROUND(NORM.INV(0.908789, 40, 1.5), 5))'
+table("dist_normal", "SELECTCOLUMNS(FILTER(part, part[p_partkey] < 200), " + _NORMAL,
       "SELECT p_partkey AS k, round(exp(-pow(p_size / 25.0 - 1, 2) / 2) / sqrt(2 * pi()), 8) AS d, round(1 - exp(-2 * (p_size / 10.0)), 8) AS e, 42.0::DOUBLE AS i FROM part WHERE p_partkey < 200")
+table("dist_normal_all", "SELECTCOLUMNS(part, " + _NORMAL, SQL["dist_normal"].removesuffix(" WHERE p_partkey < 200"))
 table("dist_t_chisq_beta", 'ROW("t", ROUND(T.DIST.2T(1.959999998, 60), 6), "ti", ROUND(T.INV(0.75, 2), 6), "c", ROUND(CHISQ.INV.RT(0.05, 10), 5), "b", ROUND(BETA.INV(0.685470581, 8, 10), 6), "p", ROUND(POISSON.DIST(2, 5, TRUE), 6), "n", ROUND(CONFIDENCE.NORM(0.05, 2.5, 50), 6))',
       "SELECT 0.054645::DOUBLE AS t, 0.816497::DOUBLE AS ti, 18.30704::DOUBLE AS c, 0.5::DOUBLE AS b, 0.124652::DOUBLE AS p, 0.692952::DOUBLE AS n")
 
