@@ -7,9 +7,11 @@ two token sequences are aligned and the overlap verified: a stretch of
 ``STRETCH`` words (or the whole item, if shorter) of which at least ``SIMILAR``
 are equal at their positions.
 
-The mask 11110111 meets a run in which any fifth or later word is replaced; the
-lighter mask 1101011 meets irregular substitutions. Items of fewer words than a
-mask's span have no window of it and aren't looked for.
+Every overlap that the verification accepts has a seed. Two of 13 words that
+differ leave four in a row, which the mask 1111 meets; so it does in items of 4,
+8, 9 and 12 words. Items of 5, 6, 7, 10 and 11 words are also looked for by
+masks of four words with a gap, items of one to three words as a whole. A
+benchmark without short items costs documents the windows of 1111 only.
 
 Test windows are broadcast only if their number is at most ``MAX_BROADCAST``
 (counted); otherwise both sides are shuffled by hash, and token sequences are
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import within
 
-MASKS = ("11110111", "1101011")
+MASKS = ("1111",)
+#: For short items only, each with the lengths it is for.
+SHORT = {"10111": (5, 6, 7, 10, 11), "11011": (5, 6, 7, 10, 11), "11101": (5, 6, 7, 10, 11), "111": (3,), "11": (2,), "1": (1,)}
 STRETCH = 13
 SIMILAR = 0.8
 MAX_BROADCAST = 500_000
@@ -38,22 +42,31 @@ def token_hashes(text: Column) -> Column:
     return F.transform(parts, lambda t: F.xxhash64(t))
 
 
-def _starts(n: Column, span: int) -> Column:
-    return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
+def _seed(mask: str):
+    chosen = [k for k, c in enumerate(mask) if c == "1"]
+    return lambda i: F.xxhash64(F.lit(mask), *[F.get("h", i + k) for k in chosen])
 
 
-def _seed(number: int, mask: str):
-    chosen = [k for k, c in enumerate(mask) if c == "1"]
-    return lambda i: F.xxhash64(F.lit(number), *[F.get("h", i + k) for k in chosen])
+def windows(rows: DataFrame, keep: list[str], masks: tuple[str, ...] = MASKS, items: bool = False) -> DataFrame:
+    """One row per mask and window of the tokens ``h``: key, at, and ``keep``.
+
+    Of ``items`` only those windows that their length calls for.
+    """
+    n, hashed, at, before = F.size("h"), [], None, F.lit(0)
+    for mask in masks:
+        fits = (n >= len(mask)) & n.isin(*SHORT[mask]) if items and mask in SHORT else n >= len(mask)
+        starts = F.when(fits, F.sequence(F.lit(0), n - len(mask))).otherwise(F.array().cast("array<int>"))
+        hashed.append(F.transform(starts, _seed(mask)))
+        at, before = (F.col("pos") if at is None else F.when(F.col("pos") < F.col(f"from{len(hashed) - 1}"), at).otherwise(F.col("pos") - F.col(f"from{len(hashed) - 1}"))), before + F.when(fits, n - len(mask) + 1).otherwise(0)
+        rows = rows.withColumn(f"from{len(hashed)}", before)
+    begins = [f"from{k}" for k in range(1, len(masks))]
+    return rows.select(*keep, *begins, F.posexplode(F.concat(*hashed)).alias("pos", "key")).select(*keep, "key", at.alias("at"))
 
 
-def windows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per mask and window of the tokens ``h``: key, at, and ``keep``."""
-    n = F.size("h")
-    hashed = [F.transform(_starts(n, len(mask)), _seed(m, mask)) for m, mask in enumerate(MASKS)]
-    first = F.greatest(n - len(MASKS[0]) + 1, F.lit(0))
-    flat = rows.select(*keep, first.alias("first"), F.posexplode(F.concat(*hashed)).alias("pos", "key"))
-    return flat.select(*keep, "key", F.when(F.col("pos") < F.col("first"), F.col("pos")).otherwise(F.col("pos") - F.col("first")).alias("at"))
+def _masks_for(items: DataFrame) -> tuple[str, ...]:
+    """The masks that the lengths of ``items`` call for."""
+    lengths = {r["n"] for r in items.select(F.least(F.size("b"), F.lit(STRETCH)).alias("n")).distinct().collect()}
+    return MASKS + tuple(mask for mask, of in SHORT.items() if lengths & set(of))
 
 
 def verified(hits: DataFrame) -> DataFrame:
@@ -77,15 +90,16 @@ def overlaps(docs: DataFrame, tests: DataFrame, max_broadcast: int = MAX_BROADCA
     """One row per document and test item that overlap:
     doc_id, item_id, matched, stretch, near_word (where the overlap is, about)."""
     items = tests.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("b")).distinct()
-    sought = windows(items.select("item_id", F.col("b").alias("h")), ["item_id"]).withColumnsRenamed({"at": "p", "key": "sought"})
+    masks = _masks_for(items)
+    sought = windows(items.select("item_id", F.col("b").alias("h")), ["item_id"], masks, items=True).withColumnsRenamed({"at": "p", "key": "sought"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("h"))
     tokens = items.withColumnRenamed("item_id", "of")
     same_item = F.col("item_id").eqNullSafe(F.col("of"))
     if within(sought, max_broadcast):
-        hits = windows(rows, ["doc_id", "h"]).join(F.broadcast(sought), F.col("key") == F.col("sought"))
+        hits = windows(rows, ["doc_id", "h"], masks).join(F.broadcast(sought), F.col("key") == F.col("sought"))
         hits = hits.join(F.broadcast(tokens), same_item)
     else:
-        hits = windows(rows, ["doc_id"]).join(sought, F.col("key") == F.col("sought")).select("doc_id", "item_id", "at", "p").distinct()
+        hits = windows(rows, ["doc_id"], masks).join(sought, F.col("key") == F.col("sought")).select("doc_id", "item_id", "at", "p").distinct()
         hits = hits.join(tokens, same_item).join(rows.withColumnRenamed("doc_id", "row"), F.col("doc_id").eqNullSafe(F.col("row")))
     found = verified(hits.select("doc_id", "item_id", "at", "p", "h", "b"))
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("stretch").alias("stretch"), F.min("near_word").alias("near_word"))

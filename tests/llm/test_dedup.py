@@ -1,6 +1,7 @@
 """Near and exact deduplication, decontamination: against brute force on small tables."""
 
 import hashlib
+import itertools
 import random
 
 import xxhash
@@ -174,6 +175,24 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(table.limit(0), tests).count() == 0 and decontaminate.overlaps(table, tests.limit(0)).count() == 0
 
 
+def test_every_accepted_pattern_has_a_seed(spark):
+    """All patterns of up to three replaced words, in items of 1 to 16 words, against brute force."""
+    items, docs, want = [], [], set()
+    for n in range(1, 17):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        need = min(n, decontaminate.STRETCH)
+        for count in range(min(n, 3) + 1):
+            for gone in itertools.combinations(range(n), count):
+                equal = [k not in gone for k in range(n)]
+                if any(5 * sum(equal[j : j + need]) >= 4 * need for j in range(n - need + 1)):
+                    want.add((len(docs), n))
+                docs.append("a b " + " ".join(w if e else "zz" for w, e in zip(words, equal)) + " c d")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MAX_BROADCAST, 5):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(documents(spark, docs), tests, most).collect()} == want
+
+
 def test_native_plans(spark):
     table = documents(spark, ["a b c d e f g h i j", "a"])
     tests = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
