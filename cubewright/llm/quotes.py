@@ -3,14 +3,17 @@
 A message's lines are parsed into passages: runs of lines of one quote level
 (the number of leading ``>`` marks), cut at empty lines. A passage is normalised
 (lower case, white space collapsed) and hashed, so that re-wrapped quotations
-match. Each quoted passage is joined to the earliest message that has the same
-passage as its own words; the message replies to the original of its shallowest
+match. Each quoted passage is joined to the earliest message of its own
+conversation that has the same passage as its own words, however short; only
+where its conversation has none, and the passage has at least ``MIN_CHARS``
+characters, to the earliest message of all. The message replies to the original of its shallowest
 linked quotation, the latest if several are linked at that level. Only earlier
 messages (by conversation and turn) count, so replies form a forest; roots and
 depths come from pointer jumping, each round written to the shared folder.
 
-The index holds one original per passage, so a passage that very many messages
-share makes one row, and joins never multiply.
+The index holds one original per passage and conversation, and one per passage,
+so a passage that very many messages share makes one row of each, and joins
+never multiply.
 
 Edge cases: null text counts as empty; messages that quote nothing known begin a
 thread with depth 0 (turn order within a conversation stays); attribution lines
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Passages of fewer characters link nothing ("yes", "thanks").
+#: Passages of fewer characters ("yes", "thanks") link within their conversation only.
 MIN_CHARS = 20
 _ATTRIBUTION = r"(?i)^\s*(on|am|le|el)\b.{0,200}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -68,18 +71,22 @@ def parsed(messages: DataFrame) -> DataFrame:
     rows = rows.withColumn("begins", begins).withColumn("runs", _runs())
     attributed = lambda i: plain(i)["body"].rlike(_ATTRIBUTION) & (F.coalesce(plain(i + 1)["level"], F.lit(0)) > 0)
     own = F.transform(F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (plain(i)["level"] == 0) & ~attributed(i)), lambda i: plain(i)["body"])
-    said = F.filter("runs", lambda p: F.length(F.trim(p["body"])) >= MIN_CHARS)
-    hashed = F.transform(said, lambda p: F.struct(p["level"].alias("level"), _hash(p["body"]).alias("hash")))
+    said = F.filter("runs", lambda p: F.trim(p["body"]) != "")
+    hashed = F.transform(said, lambda p: F.struct(p["level"].alias("level"), _hash(p["body"]).alias("hash"), (F.length(F.trim(p["body"])) >= MIN_CHARS).alias("long")))
     return rows.select("conv_id", "turn", "role", F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "").alias("own"), hashed.alias("passages"))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn) -> (to_conv, to_turn): what each message replies to."""
-    each = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.hash")
+    each = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.hash", "p.long")
     at = F.struct("conv_id", "turn")
     quoted = each.where("level > 0")
-    originals = each.where("level = 0").groupBy("hash").agg(F.min(at).alias("original")).withColumnRenamed("hash", "said")
-    found = quoted.join(originals, F.col("hash") == F.col("said")).where(F.col("original") < at)
+    near = each.where("level = 0").groupBy("hash", "conv_id").agg(F.min(at).alias("near"), F.max("long").alias("long"))
+    far = near.where("long").groupBy("hash").agg(F.min("near").alias("far")).withColumnRenamed("hash", "said")
+    near = near.select(F.col("hash").alias("same"), F.col("conv_id").alias("conv"), "near")
+    here = quoted.join(near, (F.col("hash") == F.col("same")) & (F.col("conv_id") == F.col("conv")) & (F.col("near") < at), "left")
+    found = here.join(far, (F.col("hash") == F.col("said")) & F.col("near").isNull() & F.col("long"), "left")
+    found = found.withColumn("original", F.coalesce("near", "far")).where(F.col("original") < at)
     best = found.groupBy("conv_id", "turn").agg(F.min(F.struct("level", (-F.col("original.conv_id")).alias("c"), (-F.col("original.turn")).alias("t"))).alias("b"))
     return best.select("conv_id", "turn", (-F.col("b.c")).alias("to_conv"), (-F.col("b.t")).alias("to_turn"))
 

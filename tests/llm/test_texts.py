@@ -179,6 +179,14 @@ def test_quotations(spark):
     assert not any(x in quotes.conversations(df)._jdf.queryExecution().executedPlan().toString() for x in ("Python", "MapInArrow", "Cartesian"))
 
 
+def test_quotations_of_the_own_conversation_come_first(spark):
+    words = "This paragraph stands in more than one conversation."
+    rows = [(1, 0, words), (2, 0, "Other words to begin with."), (2, 1, words), (2, 2, f"> {words}\nindeed"), (3, 0, f"> {words}\nfrom elsewhere"), (4, 0, "yes"), (4, 1, "> yes\nno"), (5, 0, "> yes\nnot from there"), (6, 0, f"> {words}\nbefore"), (6, 1, words)]
+    df = spark.createDataFrame([(c, t, "user", x, 1, "x") for c, t, x in rows], CONV)
+    got = {(r["conv_id"], r["turn"]): (r["reply_to_conv"], r["reply_to_turn"]) for r in quotes.conversations(df).collect()}
+    assert got[2, 2] == (2, 1) and got[3, 0] == (1, 0) and got[4, 1] == (4, 0) and got[5, 0] == (None, None) and got[6, 0] == (1, 0)
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["en", "de", None]), rng.choice(["hot"] * 6 + ["a", "b"]), 0, "p", 1, "k") for i in range(3000)] + [(5000, None, "en", "a", 0, "p", 1, "k"), (5001, "w", "en", "a", 0, "p", 1, "k"), (5001, "w", "en", "a", 0, "p", 1, "k")]
