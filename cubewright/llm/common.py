@@ -69,16 +69,26 @@ def within(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def keep_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (one column), one row per doc_id.
+def text_digest() -> Column:
+    """SHA-256 of the column ``text``: with doc_id it names a row, also where ids are null or repeated."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
-    Whole texts are shuffled only for ids that more than one row has.
+
+def keep_only(docs: DataFrame, keys: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``digest`` (of a row's text) are a row
+    of ``keys`` (doc_id, digest), one row for each; null ids equal each other.
+
+    Whole texts are shuffled only for keys that more than one row has.
     """
-    name = "__" + uuid.uuid4().hex
-    ids = ids.toDF(name)
-    kept = docs.join(ids, docs["doc_id"] == ids[name], "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept["doc_id"] == repeated[name], "left_anti")
-    return once.unionByName(kept.join(repeated, kept["doc_id"] == repeated[name], "left_semi").dropDuplicates(["doc_id"]))
+    tag = uuid.uuid4().hex
+    own, theirs = (f"__i{tag}", f"__d{tag}"), (f"__ki{tag}", f"__kd{tag}")
+    keyed = docs.withColumns({own[0]: F.col("doc_id").cast("long"), own[1]: digest})
+
+    def among(rows: DataFrame, of: DataFrame, how: str) -> DataFrame:
+        return rows.join(of.toDF(*theirs), F.col(own[0]).eqNullSafe(F.col(theirs[0])) & (F.col(own[1]) == F.col(theirs[1])), how)
+
+    kept = among(keyed, keys, "left_semi")
+    repeated = keyed.groupBy(*own).count().where("count > 1").select(*own)
+    if not repeated.isEmpty():
+        kept = among(kept, repeated, "left_anti").unionByName(among(kept, repeated, "left_semi").dropDuplicates(list(own)))
+    return kept.drop(*own)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, keep_only, stored
@@ -23,8 +23,11 @@ from .common import ascii_lower, keep_only, stored
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of the normalised text: A-Z lower-cased, nothing else."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(text).cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
+
+
+def digest() -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256))
 
 
 class DigestIndex:
@@ -83,5 +86,5 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """``docs`` with one row of each text that ``index`` didn't hold before."""
-    keep = exact_duplicates(docs, index).where("kept").select("doc_id")
-    return keep_only(docs, keep)
+    keep = exact_duplicates(docs, index).where("kept").select("doc_id", F.unhex("text_sha256"))
+    return keep_only(docs, keep, digest())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, stored, python_ready
+from .common import keep_only, python_ready, stored, text_digest
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -53,13 +53,14 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64), pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64), pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for each row of ``docs``."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, fp long) for each row of ``docs``; with its text's ``digest`` if asked."""
     python_ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    more = [text_digest().alias("digest")] if digest else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), *more).mapInArrow(_fingerprints, "doc_id long, fp long" + ", digest binary" * digest)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -90,12 +91,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "root")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint, component_id, n_links.
-
-    n_links is the number of other fingerprints within two bits.
-    """
-    marked = stored(fingerprints(docs), "fingerprints")
+def _grouped(marked: DataFrame) -> DataFrame:
+    """(of, root, component_id, n_links) of each distinct fingerprint of ``marked``."""
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = stored(links(distinct), "links")
     roots = components(edges)
@@ -103,12 +100,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = distinct.join(roots.join(degree, "node").withColumnRenamed("node", "fp"), "fp", "left")
     linked = stored(linked.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = stored(linked.join(least, "root").select(F.col("fp").alias("of"), "component_id", "n_links"), "components")
+    return stored(linked.join(least, "root").select(F.col("fp").alias("of"), "root", "component_id", "n_links"), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint, component_id, n_links.
+
+    n_links is the number of other fingerprints within two bits.
+    """
+    marked = stored(fingerprints(docs), "fingerprints")
+    of = _grouped(marked)
     return marked.join(of, marked["fp"] == of["of"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id."""
-    return keep_only(docs, near_duplicates(docs).where("doc_id = component_id").select("doc_id"))
+    """``docs`` with one document of each component, that of the smallest doc_id;
+    a null doc_id stays only where its component has no other."""
+    marked = stored(fingerprints(docs, digest=True), "fingerprints")
+    of = _grouped(marked)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("least")
+    keep = marked.join(of, marked["fp"] == of["of"]).groupBy("root").agg(least)
+    return keep_only(docs, keep.select("least.doc_id", "least.digest"), text_digest())

@@ -124,6 +124,18 @@ def test_exact_duplicates(spark):
     index.drop()
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    """One row of each text stays, of each component one, whatever the ids."""
+    long = [" ".join(f"{p}{k}" for k in range(60)) for p in "abcde"]
+    texts, ids = [*long, long[0], long[1], long[3], long[0].upper(), long[3]], [None, None, 7, 7, 3, None, 5, 7, None, 9]
+    for stage in (lambda d: exactdedup.without_copies(d, exactdedup.new_index(spark)), simhash.one_of_each):
+        out = stage(documents(spark, texts, ids))
+        got = {(r["doc_id"], r["text"].lower()) for r in out.collect()}
+        last = 9 if stage is not simhash.one_of_each else 7
+        assert out.count() == 5 and got == {(None, long[0]), (5, long[1]), (7, long[2]), (last, long[3]), (3, long[4])}
+        assert out.columns == documents(spark, texts, ids).columns
+
+
 def test_index_is_bucketed(spark):
     index = exactdedup.new_index(spark)
     groups = spark.createDataFrame([(b"a", 1, 1)], index.SCHEMA)
