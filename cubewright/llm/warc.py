@@ -10,11 +10,17 @@ Files are opened through pyarrow's filesystems, so the folder may be a shared
 mount or a store that pyarrow knows. A writing task puts its file under a new
 name and names it in its result; files of failed attempts are never read.
 
+The reader computes length and digest of each response's payload anew; where the
+header says otherwise the record is damaged, and the read fails by name. A revisit
+has those of the payload it stands for in its header.
+
 Edge cases: null html counts as an empty payload; of records with equal payloads
 of at least ``min_bytes`` bytes that with the smallest page_id is the response,
-the others (rows that repeat its page_id included) revisit it; smaller payloads
-are responses; rows with a null page_id are written with an empty record id and
-come back as null; an empty table gives an empty result.
+the others revisit it. Where several rows have that page_id, the response is the
+one with the first url, of entire rows that repeat any one, and the rest
+revisit it. Smaller payloads are responses; rows with a null page_id are written
+with an empty record id and come back as null, revisits where another row has
+the payload and a page_id, else responses; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, python_ready
+from .common import new_path, passing, python_ready, stored
 
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
@@ -85,19 +91,29 @@ def _writer(folder: str):
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to) of each row; refers_to is set for revisits."""
-    html = F.coalesce("html", F.lit(""))
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    keyed = rows.select("page_id", F.unhex(F.sha2(F.col("html").cast("binary"), 256)).alias("key"), F.octet_length("html").alias("n"))
-    counted = keyed.where(F.col("n") >= min_bytes).groupBy("key", "page_id").agg(F.count(F.lit(1)).alias("c"))
-    first = counted.groupBy("key").agg(F.min("page_id").alias("first"), F.sum("c").alias("c")).where("c > 1 AND first IS NOT NULL")
-    first = stored(first, "payloads").drop("c")
+    key = F.unhex(F.sha2(F.col("html").cast("binary"), 256))
+    keyed = rows.where(F.octet_length("html") >= min_bytes).select(key.alias("key"), "page_id", "url")
+    counted = keyed.groupBy("key", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    # A null page_id is never referred to, the smallest of the others is.
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "n"))
+    first = counted.groupBy("key").agg(F.min(known).alias("f"), F.sum("n").alias("all")).where("`all` > 1 AND f IS NOT NULL")
+    first = stored(first.select("key", F.col("f.page_id").alias("first"), F.col("f.url").alias("at"), F.col("f.n").alias("n")), "payloads")
     if first.isEmpty():
         return rows.withColumn("refers_to", F.lit(None).cast("long"))
-    keyed = rows.withColumn("key", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha2(F.col("html").cast("binary"), 256))))
-    # Only rows whose payload occurs again go through the join with whole texts.
-    joined = keyed.join(first, "key", "left")
-    other = ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", F.when(F.col("first").isNotNull() & other, F.col("first")).alias("refers_to"))
+    joined = rows.withColumn("key", F.when(F.octet_length("html") >= min_bytes, key)).join(first, "key", "left")
+    leads = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("at"))
+    refers = F.when(F.col("first").isNotNull() & ~leads, F.col("first"))
+    out = ["page_id", "url", "html"]
+    if first.where("n > 1").isEmpty():
+        return joined.select(*out, refers.alias("refers_to"))
+    # Entire rows that repeat: one of them, by a number that is stored with it, is the response.
+    again = F.col("first").isNotNull() & leads & (F.col("n") > 1)
+    same = stored(joined.where(again).select(*out, "key", F.monotonically_increasing_id().alias("row")), "repeated")
+    lead = stored(same.groupBy("key").agg(F.min("row").alias("lead")), "leads").withColumnRenamed("key", "of")
+    one = same.join(lead, F.col("key") == F.col("of")).select(*out, F.when(F.col("row") != F.col("lead"), F.col("page_id")).alias("refers_to"))
+    return joined.where(~again).select(*out, refers.alias("refers_to")).unionByName(one)
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -187,9 +203,12 @@ def read_range(path: str, start: int, end: int) -> Iterator[tuple]:
             block = got[0][body : body + int(fields["Content-Length"])]
             payload = block.partition(b"\r\n\r\n")[2]
             refers = fields.get("WARC-Refers-To")
+            said = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            if not refers and said != (len(payload), digest(payload)):
+                raise ValueError(f"{path}: the record at byte {begin} has not the payload that its header names")
             yield (
                 _number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], _number(refers) if refers else None,
-                int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), None if refers else payload, path, begin,
+                *said, None if refers else payload, path, begin,
             )
             pos = got[1]
             window.drop(pos)
@@ -226,4 +245,4 @@ def read(files: DataFrame, split: int = SPLIT) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0, split: int = SPLIT) -> DataFrame:
     """Write ``pages`` to new archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    return read(write(pages, new_path(spark, "warc"), min_bytes), split)
+    return read(write(pages, passing(spark, new_path(spark, "warc")), min_bytes), split)

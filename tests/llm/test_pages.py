@@ -119,7 +119,25 @@ def test_archives_are_plain_warc(spark):
 
 @pytest.mark.parametrize("cut", [1, 40])
 def test_damaged_members_are_passed_over(tmp_path, cut):
-    records = [warc.record(i, "u", bytes([97 + i]) * 200, "d", 200, None) for i in range(5)]
+    records = [warc.record(i, "u", p := bytes([97 + i]) * 200, warc.digest(p), 200, None) for i in range(5)]
     data = records[0] + records[1][:-cut] + records[2] + b"junk" + records[3] + records[4]
     (tmp_path / "x.gz").write_bytes(data)
     assert [r[0] for r in warc.read_range(str(tmp_path / "x.gz"), 0, len(data))][-2:] == [3, 4]
+
+
+def test_one_response_for_each_payload(spark):
+    """Rows that repeat the smallest page_id, with other urls and as entire rows."""
+    rows = [(1, "http://b", "same"), (1, "http://a", "same"), (2, "http://a", "same"), (1, "http://a", "same"), (1, None, "other"), (1, None, "other"), (None, "u", "other"), (None, "u", "lone"), (None, "u", "lone"), (3, "x", ""), (3, "x", None)]
+    got = [(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages(spark, rows)).collect()]
+    assert len(got) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, [
+        (1, "http://a", "response", None, 4), (1, "http://a", "revisit", 1, 4), (1, "http://b", "revisit", 1, 4), (2, "http://a", "revisit", 1, 4),
+        (1, "", "response", None, 5), (1, "", "revisit", 1, 5), (None, "u", "revisit", 1, 5), (None, "u", "response", None, 4), (None, "u", "response", None, 4),
+        (3, "x", "response", None, 0), (3, "x", "revisit", 3, 0),
+    ]))
+
+
+def test_a_payload_that_differs_from_its_header_is_told(tmp_path):
+    (tmp_path / "x.gz").write_bytes(data := warc.record(1, "u", b"abc", warc.digest(b"abd"), 3, None))
+    with pytest.raises(ValueError, match="byte 0"):
+        list(warc.read_range(str(tmp_path / "x.gz"), 0, len(data)))
