@@ -1,20 +1,21 @@
 """Main text by nearest-URL page differencing.
 
-Pages are range-partitioned and sorted by host, URL path and page_id, so that a
-page's neighbour in the order is the page of the same host with the nearest
-path; a host with very many pages spreads over many partitions. The ranges are
+Pages are range-partitioned and sorted by host, URL path and page_id, so that of
+all pages of the same host the one with the nearest path (the longest common
+prefix) stands next to a page, before or after it; a host with very many pages
+spreads over many partitions. The ranges are
 cut over keys alone; each partition is also handed the last page of the one
 before it and the first of the one after it, so that neighbours don't depend on
 where the ranges end. The text blocks
 of a page and of its neighbour are aligned by a longest common subsequence, and
-shared blocks are deleted. Markup tells where differencing may delete: chrome
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) goes
-anyway, and a paragraph, heading or list item inside the article element stays
-even if the neighbour has the same words, as repeated sentences of authors are
-no boilerplate.
-
-Each page is compared with the page before it in the order, the first of a host
-with the one after it. Blocks are aligned in full at every size: time grows by
+shared blocks are deleted first. A paragraph, heading or list item inside the
+article element stays even if the neighbour has the same words, as repeated
+sentences of authors are no boilerplate. What chrome (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) the neighbour doesn't share is then
+told by markup. The result counts the blocks that each of the two deletes.
+
+Each page is compared with the nearer of its two neighbours, with the one before
+it where both are as near. Blocks are aligned in full at every size: time grows by
 the product of the two lengths over the bits of a machine word. Edge cases: null html counts as
 empty and gives an empty text; a null url sorts before others and has no host
 in common with any; the only page of a host has no neighbour; pages that are
@@ -31,6 +32,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from math import isqrt
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,9 +44,29 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
 SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas select button textarea form nav aside dialog menu footer".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = frozenset("svg math".split())
+IN_HEAD = frozenset("html head title meta link style script base noscript template".split())
 CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_CHROME = re.compile(r"^(ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice\w*|newsletter|subscribe\w*|signup|popup|modal|overlay|menu|nav\w*|breadcrumbs?|sidebar|side|aside|widgets?|header|masthead|footer|comments?|replies|respond|disqus|share|sharing|social|related|recommended|pagination|pager|copyright|login|search)$")
-_CHROME_END = re.compile(r"^(ads?|adverts?|banner|sidebar|menu|nav|navigation|navbar|footer|comments?|breadcrumbs?|popup|modal)$")
+#: Class names and ids of chrome (fixed values). A name of several parts is chrome
+#: if one part is and the others only say what kind of box: "cookie-notice",
+#: "nav-item" and "related-posts", but not "related-work", "side-effects" or "share-price".
+_CHROME = frozenset(
+    "ad ads adbox advert adverts advertisement advertisements advertising adsense banner banners promo promos promotion promotions sponsor sponsored sponsors cookie cookies consent gdpr notice notices newsletter "
+    "subscribe subscription signup popup popover modal overlay menu menus nav navs navbar navigation topnav breadcrumb breadcrumbs sidebar aside side widget widgets header masthead footer comment comments reply replies "
+    "respond disqus share sharing social related recommended recommendations pagination pager paging copyright login search skip toolbar".split()
+)
+_BOX = frozenset(
+    "a and area articles bar block blocks body bottom box btn button buttons card cards col column container content footer form group head heading icon icons inner item items js left link links list main "
+    "media module nav news outer page panel policy posts primary right row rows section secondary sidebar site slot small stories text thread title to toggle top unit video view wrap wrapper wide fixed sticky global local mobile desktop".split()
+)
+
+
+def _is_chrome(name: str) -> bool:
+    parts = [part.rstrip("0123456789") for part in name.replace("_", "-").split("-")]
+    parts = [part for part in parts if part]
+    return any(part in _CHROME for part in parts) and all(part in _CHROME or part in _BOX for part in parts)
+
+
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _SPACE = re.compile(r"\s+")
 
@@ -82,20 +104,29 @@ class _Blocks(HTMLParser):
                 break
             if self.stack[i][0] in BLOCKS and self.stack[i][0] != "p":
                 break
+        if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+            self.stack.pop()  # its end tag may be left out
         if tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
             chrome, article = self._state()
             named = dict(attrs)
-            words = f"{named.get('class') or ''} {named.get('id') or ''}".lower().replace("_", "-").split()
-            marked = any(_CHROME.match(word) or _CHROME.match(word.split("-")[0]) or _CHROME_END.match(word.split("-")[-1]) for word in words)
+            marked = any(map(_is_chrome, f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()))
             own = tag in ("article", "main", "body", "html", "p", "h1", "h2", "h3")
             chrome = chrome or tag in SKIPPED or tag == "header" and not article or not own and marked or named.get("role") in _ROLES or "hidden" in named or tag == "article" and marked and article
             self.stack.append((tag, chrome, article or tag in ("article", "main") or named.get("role") == "main"))
         self._mark()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        # Of HTML's own elements only void ones end at once; drawings and formulas do, and all in them.
+        if tag in FOREIGN or any(open_ in FOREIGN for open_, _, _ in self.stack):
+            self.flush_if(tag)
+        else:
+            self.handle_starttag(tag, attrs)
+
+    def flush_if(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -204,15 +235,27 @@ def _aligned(a: list[str], b: list[str]) -> Iterator[int]:
             here, below = length(i, j), length(i + 1, j)
 
 
-def main_text(page: list, neighbour: list | None) -> str:
-    """The page's text without chrome and without what it shares with its neighbour."""
+def decided(page: list, neighbour: list | None) -> tuple[list[str], int, int]:
+    """The blocks that stay, how many differencing deletes, and how many more markup does."""
     held = any(article and not chrome for _, chrome, article, _ in page)
     mine = [b[0] for b in page]
     same = shared(mine, [b[0] for b in neighbour]) if neighbour else set()
     if len(same) == len(mine):
         same = set()
-    keep = [not chrome and (article or not held) and not (i in same and not (article and prose)) for i, (_, chrome, article, prose) in enumerate(page)]
-    return "\n".join(text for text, k in zip(mine, keep) if k)
+    kept, by_neighbour, by_markup = [], 0, 0
+    for i, (text, chrome, article, prose) in enumerate(page):
+        if i in same and not (article and prose and not chrome):
+            by_neighbour += 1
+        elif chrome or held and not article:
+            by_markup += 1
+        else:
+            kept.append(text)
+    return kept, by_neighbour, by_markup
+
+
+def main_text(page: list, neighbour: list | None) -> str:
+    """The page's text without what it shares with its neighbour and without chrome."""
+    return "\n".join(decided(page, neighbour)[0])
 
 
 def _pack(page: list) -> bytes:
@@ -257,17 +300,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pages() -> Iterator[tuple]:
         for batch in batches:
-            for page_id, url, host, _, _, data, _, guest in zip(*(c.to_pylist() for c in batch.columns)):
-                yield page_id, url, host, _unpack(data), guest
+            for page_id, url, host, path, _, data, _, guest in zip(*(c.to_pylist() for c in batch.columns)):
+                yield page_id, url, host, path, _unpack(data), guest
 
     def texts() -> Iterator[tuple]:
         before, now = None, None
         for after in pages():
-            if now is not None and not now[4]:
-                yield now[0], now[1], main_text(now[3], _near(now, before, after))
+            if now is not None and not now[5]:
+                yield _row(now, before, after)
             before, now = now, after
-        if now is not None and not now[4]:
-            yield now[0], now[1], main_text(now[3], _near(now, before, None))
+        if now is not None and not now[5]:
+            yield _row(now, before, None)
 
     rows: list[tuple] = []
     for row in texts():
@@ -279,20 +322,29 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows)
 
 
+def _row(now: tuple, before: tuple | None, after: tuple | None) -> tuple:
+    kept, by_neighbour, by_markup = decided(now[4], _near(now, before, after))
+    return now[0], now[1], "\n".join(kept), by_neighbour, by_markup
+
+
 def _near(now: tuple, before: tuple | None, after: tuple | None) -> list | None:
-    for other in (before, after):
-        if other is not None and now[2] and other[2] == now[2]:
-            return other[3]
-    return None
+    """The blocks of the nearer neighbour on the same host, of that before if both are as near."""
+    near = [(len(commonprefix([other[3] or "", now[3] or ""])), other[4]) for other in (before, after) if other is not None and now[2] and other[2] == now[2]]
+    return max(near, key=lambda x: x[0])[1] if near else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    ids, urls, texts = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+    ids, urls, texts, by_neighbour, by_markup = zip(*rows)
+    columns = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(by_neighbour, pa.int64()), pa.array(by_markup, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, _TEXTS)
+
+
+_TEXTS = ["page_id", "url", "text", "n_chars", "n_shared", "n_chrome"]
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars."""
+    """One row per row of ``pages``: page_id, url, text, n_chars, n_shared (blocks
+    that differencing deleted), n_chrome (blocks that only markup did)."""
     python_ready(pages.sparkSession)
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
@@ -305,4 +357,4 @@ def extract(pages: DataFrame) -> DataFrame:
     cut = sorted((_key(*r["first"]), _key(*r["last"])) for r in cut.collect())
     parsed = rows.withColumn("tie", F.xxhash64("html")).mapInArrow(_parser([a for a, _ in cut], [b for _, b in cut]), "page_id long, url string, host string, path string, tie long, page binary, range int, guest boolean")
     dealt = parsed.repartitionById(max(1, len(cut)), F.col("range")).sortWithinPartitions("range", *order, "tie")
-    return dealt.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return dealt.mapInArrow(_texts, "page_id long, url string, text string, n_chars long, n_shared long, n_chrome long")
