@@ -203,10 +203,57 @@ def test_mixing(spark):
         assert abs(cell.sampled.mean() - cell.probability.mean()) < 0.12 or len(cell) < 60
     assert [r["n_tokens"] for r in mixing.probabilities(df).where("doc_id = 5000").collect()] == [0]
     sample = mixing.mixed(df, target)
-    assert sample.columns == [*df.columns, "mix_probability", "mix_weight", "mix_tokens"] and sample.where("doc_id < 5000").count() == got[got.doc_id < 5000].sampled.sum()
-    assert mixing.probabilities(df.limit(0)).count() == 0
-    spread = mixing.rake(spark.createDataFrame([("a", "x", "t", 5), ("a", "y", "t", 1), ("b", "x", "t", 4)], "source string, lang string, topic string, tokens long")).toPandas()
+    assert sample.columns == [*df.columns, *mixing.ADDED] and sample.count() == got.sampled.sum()
+    again = mixing.mixed(sample, target)
+    assert again.columns == sample.columns and again.count() <= sample.count()
+    assert mixing.probabilities(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+
+
+def brute_rake(cells, targets):
+    """cells: {(source, lang, topic): tokens} -> weights; every marginal in turn, many rounds."""
+    total = sum(cells.values())
+    weight = {c: t / total for c, t in cells.items()}
+    sums = lambda k: {v: sum(w for c, w in weight.items() if c[k] == v) for v in {c[k] for c in cells}}
+    want = []
+    for k, by in enumerate(mixing.DIMENSIONS):
+        given = targets.get(by)
+        share = {v: given.get(v, s) if given else s**mixing.TEMPER for v, s in sums(k).items()}
+        want.append({v: s / sum(share.values()) for v, s in share.items()})
+    for _ in range(300):
+        for k in range(3):
+            now = sums(k)
+            weight = {c: w * want[k][c[k]] / now[c[k]] if now[c[k]] else 0.0 for c, w in weight.items()}
+    return weight
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_mixing_against_brute_force(spark, monkeypatch, small):
+    """Raked probabilities, draws and the stage; null and repeated ids, rows drawn each by their text."""
+    if not small:
+        monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    rng = random.Random(16)
+    rows = [(rng.choice([None, 7, i]) if i % 9 == 0 else i, f"{'1 2 ' * rng.randrange(3)}t{i} " + "w " * rng.randrange(40), rng.choice(["en", "en", "de", None]), rng.choice(["hot"] * 5 + ["a", "b", None]), 1, "k", 1, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, topic string, weight int, draw string")
+    target = {"source": {"hot": 0.2, "a": 0.5, "nobody": 0.9}}
+    got = mixing.probabilities(df, target).collect()
+    cells = {}
+    for r in got:
+        cells[r["source"], r["lang"], r["topic"]] = cells.get((r["source"], r["lang"], r["topic"]), 0) + r["n_tokens"]
+    weight = brute_rake(cells, target)
+    most = max(weight[c] / t for c, t in cells.items() if t)
+    assert all(abs(r["probability"] - weight[c] / cells[c] / most) < 3e-3 for r in got for c in [(r["source"], r["lang"], r["topic"])] if cells[c])
+    text = {t for _, t, *_ in rows}
+    kept = [(r["doc_id"], r["text"]) for r in mixing.mixed(df, target).collect()]
+    assert len(text) == len(rows) and len(kept) == len(set(kept)) == sum(r["sampled"] for r in got) and set(kept) <= {(i, t) for i, t, *_ in rows}
+    plan = mixing.mixed(df, target)._jdf.queryExecution().executedPlan().toString() + mixing.probabilities(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "MapInArrow"))
+
+
+def test_contradicting_targets_end(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 5), ("a", "y", "t", 1), ("b", "x", "t", 4)], "source string, lang string, topic string, tokens long")
+    spread = mixing.rake(cells, {"source": {"a": 0.1, "b": 0.9}, "lang": {"x": 0.1, "y": 0.9}}).toPandas()
     assert abs(spread.weight.sum() - 1) < 1e-9
+    assert mixing.rake(cells.limit(0)).count() == 0
 
 
 def test_tokens_and_topics(spark):
