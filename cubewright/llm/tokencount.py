@@ -29,6 +29,8 @@ from .common import python_ready
 #: Distinct words whose counts a worker keeps at most (it starts again beyond).
 CACHE_WORDS = 1_000_000
 LIMIT = 2048
+#: What the library's newer tables lower-case beside Python's (capital rams horn, lambda with stroke).
+NEWER_LOWER = {0xA7CB: 0x0264, 0xA7DC: 0x019B}
 
 
 def merged_size(n_symbols: int, symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -96,7 +98,7 @@ class WordBpe:
     def _plain(self, text: str) -> int:
         import unicodedata
 
-        text = self.space.sub(self.by, unicodedata.normalize("NFC", text)).lower()
+        text = self.space.sub(self.by, unicodedata.normalize("NFC", text)).translate(NEWER_LOWER).lower()
         total, counts = 0, self.counts
         for word, n in Counter(self.piece.findall(text)).items():
             made = counts.get(word)
