@@ -6,19 +6,21 @@ vectors are trained jointly in numpy, so an unseen misspelling shares most of
 its n-grams with the word it comes from. Because everything above the n-grams
 is linear, scoring needs one number per word, which each task remembers.
 
-The model is fitted on at most ``max_train`` labelled rows (a bounded sample,
-the smallest hashes of doc_id); every row of ``documents`` is scored on its
+The model is fitted on at most ``max_train`` labelled rows and ``max_bytes`` of
+their bags (a bounded sample, the smallest hashes of doc_id); every row of ``documents`` is scored on its
 whole text. Rows whose crc32(doc_id as text) mod 4 is 2 are held out.
 
 Edge cases: null text counts as empty and scores as the bias alone; labels that
 are null are ignored, of several labels of one doc_id the largest counts;
 without labels of both kinds every score is the share of toxic labels (0 if
-there are none); a null doc_id is not held out; repeated rows stay; an empty
-table gives an empty result.
+there are none); of rows that repeat a labelled doc_id, that with the smallest
+digest of its text is learnt from; a null doc_id is not held out; repeated rows
+stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +32,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, python_ready
+from .common import python_ready, text_digest
 
 MAX_TRAIN = 8000
+#: Bytes of bags that the fitting task holds at most; a bag has 6 a bucket, 4 KB for a usual text.
+MAX_TRAIN_BYTES = 256 << 20
 BUCKETS = 1 << 15
 DIM = 16
 SIZES = (3, 4, 5)
@@ -84,13 +88,16 @@ class SubwordSoftmax:
         self.value, self.bias = value, bias
 
     @classmethod
-    def fit(cls, texts: list[str | None], labels: list[int], steps: int = STEPS, batch: int = 128, rate: float = 0.02, seed: int = 7) -> SubwordSoftmax:
+    def fit(cls, texts: list[str | None], labels: list[int], steps: int = STEPS) -> SubwordSoftmax:
+        known: dict[str, np.ndarray] = {}
+        return cls.fit_bags([bag(t, known) for t in texts], labels, steps)
+
+    @classmethod
+    def fit_bags(cls, bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = STEPS, batch: int = 128, rate: float = 0.02, seed: int = 7) -> SubwordSoftmax:
         y = np.asarray(labels, dtype=np.int64)
         share = float(y.mean()) if len(y) else 0.0
         if share in (0.0, 1.0):
             return cls(np.zeros(BUCKETS, np.float32), 40.0 if share else -40.0)
-        known: dict[str, np.ndarray] = {}
-        bags = [bag(t, known) for t in texts]
         rng = np.random.default_rng(seed)
         params = [rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))]
         means, squares, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -136,22 +143,48 @@ class SubwordSoftmax:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, steps: int = STEPS) -> SubwordSoftmax:
-    """Fit on at most ``max_train`` labelled rows that aren't held out."""
+_BAGS = "labelled long, place long, digest binary, y int, at binary, weight binary"
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts in, their buckets and weights out."""
+    known: dict[str, np.ndarray] = {}
+    for batch in batches:
+        made = []
+        for text in batch.column(4).to_pylist():
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            at, weight = bag(text, known)
+            made.append((at.astype("<u2").tobytes(), weight.astype("<f4").tobytes()))
+        columns = [pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], ["labelled", "place", "digest", "y", "at", "weight"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, steps: int = STEPS, max_bytes: int = MAX_TRAIN_BYTES) -> SubwordSoftmax:
+    """Fit on at most ``max_train`` labelled rows that aren't held out, and ``max_bytes`` of their bags."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("labelled")).agg((F.max("toxic") > 0).cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64("labelled"), "labelled").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    sample = known.withColumn("place", F.xxhash64("labelled")).orderBy("place", "labelled").limit(max_train)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
     python_ready(docs.sparkSession)
+    # Texts become bags where they lie; of rows that repeat a doc_id one counts.
+    bags = rows.select("labelled", "place", text_digest().alias("digest"), "y", "text").mapInArrow(_bags, _BAGS)
+    bags = bags.groupBy("labelled").agg(F.min(F.struct("place", "digest", "y", "at", "weight")).alias("one")).select("labelled", "one.*")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
-        got.sort(key=lambda r: (r[0], r[1] or ""))
-        model = SubwordSoftmax.fit([r[1] for r in got], [r[2] for r in got], steps)
+        made, labels, size = [], [], 0
+        for batch in batches:
+            for y, at, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                size += len(at) + len(weight)
+                if size <= max_bytes:
+                    made.append((np.frombuffer(at, "<u2"), np.frombuffer(weight, "<f4")))
+                    labels.append(y)
+        model = SubwordSoftmax.fit_bags(made, labels, steps)
         yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()]), pa.array([model.bias])], ["value", "bias"])
 
-    # One task fits the bounded sample; the driver gets the weights alone.
-    made = rows.select("labelled", "text", "y").repartition(1).mapInArrow(fitted, "value binary, bias double").first()
+    # One task fits the bounded sample, in a fixed order; the driver gets the weights alone.
+    ordered = bags.repartition(1).sortWithinPartitions("labelled").select("y", "at", "weight")
+    made = ordered.mapInArrow(fitted, "value binary, bias double").first()
     return SubwordSoftmax(np.frombuffer(made["value"], "<f4"), made["bias"]) if made else SubwordSoftmax.fit([], [])
 
 
@@ -169,7 +202,18 @@ def score(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects."""
-    bad = score(docs, train(docs, labels)).where("predicted = 1").select("doc_id")
-    return docs.join(bad.distinct().toDF("__bad"), F.col("doc_id") == F.col("__bad"), "left_anti")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, steps: int = STEPS) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects, each judged by its own text."""
+    model, columns = train(docs, labels, steps=steps), docs.columns
+    python_ready(docs.sparkSession)
+    text = len(columns)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for batch in batches:
+            made = model.scores(batch.column(text).to_pylist(), cache)
+            own = pa.RecordBatch.from_arrays(batch.columns[:text], columns)
+            yield own.filter(pa.array([s < threshold for s in made], pa.bool_()))
+
+    # Rows go through whole, so none is looked up again by an id that may be null or repeated.
+    return docs.select("*", F.col("text").cast("string").alias(f"text-{uuid.uuid4().hex}")).mapInArrow(kept, docs.schema)
