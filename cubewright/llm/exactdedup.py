@@ -3,7 +3,9 @@
 The index is a table bucketed and sorted by digest: one row per distinct text
 with the row that stays and the number of copies of the batch that brought it.
 New data is pre-aggregated to one row per digest, deduplicated by a sort-merge
-anti-join with the index, and appended. All of it is DataFrame code.
+anti-join with the index, and appended. All of it is DataFrame code. A batch that
+is run again after it was appended gives the same rows: the index names the row
+that stays.
 
 Edge cases: null text counts as empty; of equal texts the largest doc_id of the
 first batch that holds the text stays; rows that repeat a doc_id and its text
@@ -13,12 +15,12 @@ no other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_only, stored
+from .common import ascii_lower, file_system, keep_only, new_path, passing, remove, stored
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -31,26 +33,39 @@ def digest() -> Column:
 
 
 class DigestIndex:
-    """A persistent table (digest, keep_id, group_size), bucketed and sorted by digest."""
+    """A persistent table (digest, keep_id, group_size) at ``path``, bucketed and sorted by digest.
+
+    ``path`` is a folder that driver and executors share: ``data`` holds the
+    buckets, ``manifest`` their number. Any later session opens it by its path;
+    each one names the table in its own catalog.
+    """
 
     SCHEMA = "digest binary, keep_id long, group_size long"
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None) -> None:
-        self.spark, self.name = spark, name
-        if not spark.catalog.tableExists(name):
-            n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-            empty = spark.createDataFrame([], self.SCHEMA)
-            empty.write.format("parquet").bucketBy(n, "digest").sortBy("digest").saveAsTable(name)
-        self.buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.name = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
+        system, manifest = file_system(spark, f"{self.path}/manifest/_SUCCESS")
+        if system.exists(manifest):
+            self.buckets = spark.read.schema("buckets int").json(f"{self.path}/manifest").first()["buckets"]
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest")
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/data'"
+        )
 
     def read(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)  # another session may have appended
         return self.spark.table(self.name)
 
     def append(self, groups: DataFrame) -> None:
         """Add those of ``groups`` (one row per digest) that the index doesn't hold."""
         # The bucketed side needs no shuffle; the batch is dealt as the buckets are.
         new = groups.repartition(self.buckets, "digest").join(self.read().hint("merge"), "digest", "left_anti")
-        new.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        new = new.select("digest", "keep_id", "group_size")
+        new.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").option("path", f"{self.path}/data").saveAsTable(self.name)
 
     def lookup(self, groups: DataFrame) -> DataFrame:
         """The index's rows for the digests of ``groups``."""
@@ -59,6 +74,7 @@ class DigestIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
 
 def exact_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -80,8 +96,8 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    """An empty index under a new name in the session's warehouse."""
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    """An empty index in the shared folder that goes with the application."""
+    return DigestIndex(spark, passing(spark, new_path(spark, "digest-index")))
 
 
 def without_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:

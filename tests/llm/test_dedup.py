@@ -2,7 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 import time
 from collections import Counter
 
@@ -234,6 +237,29 @@ def test_long_texts_take_linear_time(spark):
     assert took[2] < 3 + 8 * took[1]
 
 
+def test_index_outlives_a_session(spark, tmp_path):
+    """A second process opens the index by its path, without the first one's catalog."""
+    at = f"file://{tmp_path}/index"
+    first = exactdedup.without_copies(documents(spark, ["a", "B", "b"], [1, 2, 3]), exactdedup.DigestIndex(spark, at, 3))
+    assert sorted(r["doc_id"] for r in first.collect()) == [1, 3]
+    code = f"""
+from pyspark.sql import SparkSession
+from cubewright.llm import exactdedup
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", "{tmp_path}/w").getOrCreate()
+index = exactdedup.DigestIndex(spark, "{at}")
+docs = spark.createDataFrame([(7, "A"), (8, "new"), (9, None)], "doc_id long, text string")
+print("GOT", index.buckets, sorted(r["doc_id"] for r in exactdedup.without_copies(docs, index).collect()), index.read().count())
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.getcwd()}, timeout=170)
+    assert "GOT 3 [8, 9] 4" in said.stdout, said.stderr[-2000:]
+    again = exactdedup.DigestIndex(spark, at)
+    assert again.read().count() == 4 and "Bucketed: true" in again.lookup(again.read())._jdf.queryExecution().executedPlan().toString()
+    # The same batch once more: the same rows stay.
+    assert sorted(r["doc_id"] for r in exactdedup.without_copies(documents(spark, ["a", "B", "b"], [1, 2, 3]), again).collect()) == [1, 3]
+    again.drop()
+    assert not (tmp_path / "index").exists()
+
+
 def test_native_plans(spark):
     table = documents(spark, ["a b c d e f g h i j", "a"])
     tests = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")

@@ -1,5 +1,6 @@
 """Token counts, personal data, toxicity, quotations and mixing on small tables."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ from cubewright.llm import mixing, pii, quotes, tokencount, toxicity
 
 from .test_dedup import documents
 
-ODD = [None, "", " ", "I'm you're 12 １２ 𝔘nicode 😀", "<|startoftext|> hi <|endoftext|>a<|endoftext|>", "İSTANBUL ÀÉ ß ΑΣ", "é x​", "\x1c\x85a b", "中文 日本語", "don'T it'LL 's", "a" * 5000, "word " * 60_000, "<|"]
+ODD = [None, "", " ", "I'm you're 12 １２ 𝔘nicode 😀", "<|startoftext|> hi <|endoftext|>a<|endoftext|>", "İSTANBUL ÀÉ ß ΑΣ", "é x​", "\x1c\x85a b", "中文 日本語", "don'T it'LL 's", "a" * 5000, "word " * 60_000, "<|", "\ua7cb \ua7dc x\ua7cb"]
 
 
 def test_token_counts(spark):
@@ -68,8 +69,6 @@ def test_personal_data(spark):
     assert len(got) == len(texts)
     for r in got:
         want = brute_base(texts[r["doc_id"]])
-        import hashlib
-
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(w.startswith(k) for w in want) for k in BASE]
         assert set(want) <= set(filter(None, r["spans"].split(",")))
@@ -154,6 +153,23 @@ def test_held_out_labels_are_not_read(spark):
     assert np.array_equal(toxicity.train(docs, a, steps=20).value, toxicity.train(docs, b, steps=20).value)
 
 
+def test_toxic_rows_are_told_by_their_text(spark):
+    """Repeated and null ids, a repeated labelled id, and the byte bound of the fit."""
+    corpus = toxic_corpus(400, 3)
+    bad, good = (next(t for t, y in corpus if y == k) for k in (1, 0))
+    rows, ids = [t for t, _ in corpus] + [bad, good, bad, good, None], [*range(400), 1, 1, None, None, None]
+    docs = documents(spark, rows, ids)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus)], "doc_id long, toxic int")
+    kept = toxicity.without_toxic(docs, labels, steps=60)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    model = toxicity.train(docs, labels, steps=60)
+    want = [(i, t) for i, t, s in zip(ids, rows, model.scores(rows, {})) if s < toxicity.THRESHOLD]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert toxicity.train(docs, labels, steps=5, max_bytes=50_000).value.any()
+    assert toxicity.without_toxic(docs.limit(0), labels).count() == 0
+
+
 CONV = "conv_id long, turn long, role string, text string, c long, root_conv string"
 
 
@@ -173,7 +189,10 @@ def test_quotations(spark):
     assert quotes.conversations(df).count() == len(rows)
     reply = {k: (r["reply_to_conv"], r["reply_to_turn"], r["thread_conv"], r["thread_turn"], r["depth"]) for k, r in got.items()}
     assert reply[2, 0] == (1, 0, 1, 0, 1) and reply[3, 0] == (2, 0, 1, 0, 2) and reply[3, 1] == (3, 0, 1, 0, 3) and reply[6, 0] == (2, 0, 1, 0, 2)
-    assert all(reply[k] == (None, None, k[0], None, 0) for k in [(1, 0), (1, 1), (4, 0), (4, 2), (7, 0), (8, 0)])
+    assert reply[1, 0] == (None, None, 1, 0, 0)  # a thread's first message has the thread's own key
+    assert all(reply[k] == (None, None, k[0], None, 0) for k in [(1, 1), (4, 0), (4, 2), (7, 0), (8, 0)])
+    order = [(r["conv_id"], r["turn"]) for r in sorted(quotes.conversations(df).collect(), key=lambda r: r["reply_order"]) if (r["thread_conv"], r["thread_turn"]) == (1, 0)]
+    assert order == [(1, 0), (2, 0), (3, 0), (6, 0), (6, 0), (3, 1)]
     assert got[2, 0]["text"] == "I agree with all of that." and got[3, 1]["text"] == "yes" and got[1, 0]["text"] == first and got[4, 0]["text"] == "" and got[4, 2]["text"] == "new"
     assert quotes.conversations(df.limit(0)).count() == 0
     assert not any(x in quotes.conversations(df)._jdf.queryExecution().executedPlan().toString() for x in ("Python", "MapInArrow", "Cartesian"))
@@ -261,3 +280,93 @@ def test_tokens_and_topics(spark):
     rows = documents(spark, texts).select(mixing.tokens_of(mixing.F.col("text")), mixing.topic_of(mixing.F.col("text"))).collect()
     assert [r[0] for r in rows] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
     assert [r[1] for r in rows][3:] == ["symbols", "figures", "long prose", "lines"]
+
+
+def brute_links(rows, min_chars):
+    """conv_id, turn, text -> (reply_to, root, depth): every passage against every earlier message."""
+
+    def level(line):
+        return re.match(r"[\s>]*", line).group().count(">") if re.match(r"\s*>", line) else 0
+
+    def passages(text):
+        out, before, lines = [], None, (text or "").split("\n")
+        for i, line in enumerate(lines):
+            n = level(line)
+            body = re.sub(r"^[\s>]+", "", line) if n else line
+            if n == 0 and re.match(r"(?i)\s*(on|am|le|el)\b.*\bwrote\s*:\s*$", body) and i + 1 < len(lines) and level(lines[i + 1]):
+                body = ""
+            if not body.strip():
+                before = None
+            elif before == n:
+                out[-1][1].append(body)
+            else:
+                out.append((n, [body]))
+                before = n
+        return [(n, " ".join(" ".join(b).lower().split())) for n, b in out]
+
+    sha_of = lambda t: hashlib.sha256((t or "").encode()).digest()
+    own = [(c, t, sha_of(x), {p for n, p in passages(x) if n == 0}) for c, t, x in rows]
+    to = {}
+    for c, t, x in rows:
+        best = None
+        for n, p in passages(x):
+            if not n:
+                continue
+            same = [(a, b, d) for a, b, d, said in own if p in said]
+            # The conversation's first with these words, if it is earlier; else the first of all.
+            near = min((k for k in same if k[0] == c), default=None)
+            if near is not None and near[:2] < (c, t):
+                hit = near
+            elif len(p) >= min_chars and same and min(same)[:2] < (c, t):
+                hit = min(same)
+            else:
+                continue
+            key = (n, -hit[0], -hit[1], hit[2])
+            best = key if best is None else min(best, key)
+        if best:
+            to[c, t, sha_of(x)] = (-best[1], -best[2], best[3])
+    out = {}
+    for c, t, x in rows:
+        at, depth = (c, t, sha_of(x)), 0
+        while at in to:
+            at, depth = to[at], depth + 1
+        out[c, t, x] = (to.get((c, t, sha_of(x)), (None, None))[:2], at[:2], depth)
+    return out
+
+
+@pytest.mark.parametrize("min_chars", [quotes.MIN_CHARS, 0])
+def test_threads_against_brute_force(spark, min_chars):
+    """A generated corpus: re-wrapped, nested and short quotations, attributions, shared openings, repeated keys."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
+    said, rows = [], []
+    for c in range(40):
+        for t in range(rng.randrange(1, 6)):
+            lines = []
+            if said and rng.random() < 0.7:
+                for depth in range(1, rng.choice([1, 1, 2]) + 1):
+                    quote = rng.choice(said[-25:]).split()
+                    cut = rng.randrange(1, len(quote) + 1)
+                    if rng.random() < 0.3:
+                        lines += ["On Monday, " + "x" * rng.choice([3, 300]) + " wrote:"]
+                    lines += [">" * depth + " " + " ".join(part).upper() for part in (quote[:cut], quote[cut:]) if part]
+            mine = rng.choice(["yes", "no way", "thanks a lot", *[" ".join(word() for _ in range(rng.randrange(4, 12))) for _ in range(4)]])
+            said.append(mine)
+            lines += ["", mine] if rng.random() < 0.5 else [mine]
+            rows.append((c, t, "\n".join(lines)))
+            if rng.random() < 0.1:
+                rows.append((c, t, "other words of the same turn " + word()))
+    df = spark.createDataFrame([(c, t, "user", x, 1, "x") for c, t, x in rows], CONV).repartition(3)
+    want = brute_links(rows, min_chars)
+    got = quotes.conversations(df, min_chars).collect()
+    linked = {}
+    for (c, t, _), ((rc, rt), (oc, ot), depth) in want.items():
+        linked.setdefault((c, t), []).append((rc, rt, oc if depth else c, ot if depth else t, depth))
+    made = {}
+    for r in got:
+        made.setdefault((r["conv_id"], r["turn"]), []).append((r["reply_to_conv"], r["reply_to_turn"], r["thread_conv"], r["thread_turn"] if r["thread_turn"] is not None else r["turn"], r["depth"]))
+    assert {k: sorted(map(str, v)) for k, v in made.items()} == {k: sorted(map(str, v)) for k, v in linked.items()}
+    assert len(got) == len(rows) and sum(d > 0 for v in linked.values() for *_, d in v) > 30 and max(d for v in linked.values() for *_, d in v) > 2
+    by = {(r["conv_id"], r["turn"]): r["reply_order"] for r in got}
+    assert len({r["reply_order"] for r in got}) == len(got)
+    assert all(by[r["reply_to_conv"], r["reply_to_turn"]] < r["reply_order"] for r in got if r["depth"] and [(r["reply_to_conv"], r["reply_to_turn"]) in by and len(made[r["reply_to_conv"], r["reply_to_turn"]]) == 1] == [True])
