@@ -1,11 +1,13 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
 Candidates are the base spans and what cheap patterns, a gazetteer of first names
-and context words propose beside them. Three kinds of labelers vote on each:
+and context words propose beside them: names, identity numbers, secrets (long
+runs of letters and digits, values named token, key or password), addresses and
+numbers in other shapes. Three kinds of labelers vote on each:
 regular expressions, gazetteers and context words; they vote for, against, or
 abstain. Over all candidates of the corpus the votes are counted by pattern (a
-small table), and expectation-maximisation estimates each labeler's reliability
-and the share of true spans without any labels. The posteriors train a final
+small table), and expectation-maximisation estimates, for each kind of span, each
+labeler's reliability and the share of true spans without any labels. The posteriors train a final
 logistic span classifier on the features of all candidates, counted by (kind,
 votes, features): features are steps, so their distinct vectors are bounded
 whatever the corpus. What it accepts is added to the base spans, which always stay.
@@ -21,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import python_ready, stored
 
-KINDS = ("email", "ip", "card", "phone", "name", "id")
+KINDS = ("email", "ip", "card", "phone", "name", "id", "secret")
 BASE = KINDS[:4]
 
 # The base patterns of the contract.
@@ -51,6 +55,7 @@ FOR = {
     "ip": frozenset("ip server host address login from".split()),
     "name": frozenset("named dear regards sincerely signed contact by".split()),
     "id": frozenset("ssn passport id identity social security number ausweis".split()),
+    "secret": frozenset("token key apikey api-key secret password passwd pwd passphrase auth bearer credential credentials".split()),
 }
 AGAINST = frozenset("version page chapter figure table section total price order isbn part model".split())
 #: Calling codes and first digits of card issuers.
@@ -71,6 +76,12 @@ _FIRST = re.compile("(?:" + "|".join(sorted(n.capitalize() for n in FIRST_NAMES)
 _SAID = re.compile(r"(?:[Nn]amed|[Dd]ear|[Rr]egards|[Ss]incerely|[Ss]igned|[Cc]ontact|[Bb]y)\b[,:]?\s+([A-ZÀ-Þ][a-zà-ÿ]+" + _SURNAMES + ")")
 #: What a text must hold for the pattern to be tried at all.
 HINTS = {"email": re.compile(r"\bat\b|\[at|\(at"), "ip": re.compile(r"[0-9](?:\[|\(|\.| dot )"), "card": re.compile(r"[0-9]{4}[ .-]?[0-9]{4}"), "phone": re.compile(r"[0-9]{3}[-. ][0-9]{4}"), "id": re.compile(r"[0-9]-[0-9]{2}-"), "name": re.compile(r"Mr|Ms|Dr\b|Dr\.|Prof|Herr|Frau|Monsieur|Madame|Señor")}
+#: Runs that may be keys, and values after = or : whose name says so.
+_RUN = re.compile(r"[A-Za-z0-9+_]{20,}")
+_VALUE = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
+#: How known kinds of keys begin, and the lengths of digests in hexadecimal (fixed values).
+_KNOWN_KEY = re.compile(r"AKIA|ASIA|AIza|gh[opsu]_|glpat|sk_|pk_|xox[abprs]|eyJ")
+_HEX_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 N_LABELERS = 3
 CONTEXT = 40
@@ -117,6 +128,11 @@ def _context(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
     return _TOKEN.findall(text[max(0, a - CONTEXT) : a].lower())[-5:], _TOKEN.findall(text[b : b + CONTEXT].lower())[:5]
 
 
+def _entropy(span: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(span) * log2(n / len(span)) for n in Counter(span).values())
+
+
 def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
     """Each labeler's vote: 1 for, 0 against, -1 abstains."""
     span, (left, right) = text[a:b], _context(text, a, b)
@@ -135,6 +151,9 @@ def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
     elif kind == "phone":
         shape = span[0] == "(" or span.count("-") == 2 or span[0] == "+" and not span[1:].isdigit()
         known = int(any(digits[:k] in CALLING for k in (1, 2, 3))) if span[0] == "+" else -1
+    elif kind == "secret":
+        shape = any(c.isdigit() for c in span) and any(c.isalpha() for c in span) and _entropy(span) >= 3
+        known = 1 if _KNOWN_KEY.match(span) or len(span) in _HEX_LENGTHS and not span.strip("0123456789abcdefABCDEF") else -1
     elif kind == "id":
         shape, known = span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00", -1
     else:
@@ -161,6 +180,13 @@ def _proposed(text: str) -> Iterator[Span]:
                 if kind == "ip" and any(int(o) > 255 for o in re.findall("[0-9]+", m[0])) or kind == "card" and not luhn("".join(c for c in m[0] if c.isdigit())):
                     continue
                 yield kind, m.start(), m.end()
+    for m in _RUN.finditer(text):
+        if not m[0].isdigit() and any(c.isdigit() for c in m[0]):
+            yield "secret", *m.span()
+    for m in _VALUE.finditer(text):
+        named = _TOKEN.findall(text[max(0, m.start() - CONTEXT) : m.start()].lower())[-1:]
+        if named and not FOR["secret"].isdisjoint((named[0], *named[0].split("-"))) and not m[1].isalpha():
+            yield "secret", *m.span(1)
     for pattern, group in ((_FIRST, 0), (_SAID, 1)):
         for m in pattern.finditer(text):
             if m.start() == 0 or not text[m.start() - 1].isalnum():
@@ -240,18 +266,21 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans, n_added."""
+    base_sha256, spans, n_added, n_spans (base and added), n_secret."""
     python_ready(docs.sparkSession)
     seen = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_found, _SPANS), "spans")
     each = seen.select(F.explode("cand").alias("c")).select("c.*")
     # All candidates, counted by what the fit sees of them: few rows, however many candidates.
-    counted = sorted((r["votes"], r["x"], r["count"]) for r in each.groupBy("kind", "votes", "x").count().collect())
-    v = np.array([list(map(int, s.split(","))) for s, _, _ in counted], dtype=np.int64).reshape(-1, N_LABELERS)
-    n = np.array([c for _, _, c in counted], dtype=np.float64)
-    share, hit, miss = estimate(list(zip(map(tuple, v.tolist()), n)))
-    w = fit_classifier(np.array([x for _, x, _ in counted], dtype=np.float64), posterior(v, share, hit, miss), n) if counted else np.zeros(1)
+    counted = sorted((r["kind"], r["votes"], r["x"], r["count"]) for r in each.groupBy("kind", "votes", "x").count().collect())
+    v = np.array([list(map(int, s.split(","))) for _, s, _, _ in counted], dtype=np.int64).reshape(-1, N_LABELERS)
+    n = np.array([c for *_, c in counted], dtype=np.float64)
+    q = np.zeros(len(counted))
+    for kind in {k for k, *_ in counted}:  # a labeler may be good at one kind and poor at another
+        own = np.array([k == kind for k, *_ in counted])
+        q[own] = posterior(v[own], *estimate(list(zip(map(tuple, v[own].tolist()), n[own]))))
+    w = fit_classifier(np.array([x for _, _, x, _ in counted], dtype=np.float64), q, n) if counted else np.zeros(1)
     weights = "array(" + ",".join(f"{q!r}D" for q in map(float, w)) + ")"
     accepted = F.expr(f"transform(filter(cand, c -> NOT c.base AND aggregate(zip_with(c.x, {weights}, (a, b) -> a * b), 0D, (s, t) -> s + t) > 0D), c -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), c.kind) AS k, c.start AS s, concat(c.kind, ':', c.start, ':', c.end) AS t))")
     based = F.expr(f"transform(base, b -> struct(array_position(array({','.join(repr(k) for k in KINDS)}), split_part(b, ':', 1)) AS k, int(split_part(b, ':', 2)) AS s, b AS t))")
     spans = F.array_join(F.transform(F.array_sort(F.concat(based, accepted)), lambda s: s["t"]), ",")
-    return seen.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.size(accepted).cast("long").alias("n_added"))
+    return seen.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), F.size(accepted).cast("long").alias("n_added"), (F.size("base") + F.size(accepted)).cast("long").alias("n_spans"), F.size(F.filter(accepted, lambda a: a["t"].startswith("secret:"))).cast("long").alias("n_secret"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, python_ready, stored, text_digest
+from .common import forget, keep_only, python_ready, stored, text_digest
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -87,7 +87,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
         hop = labels.select("node", F.col("root").alias("old")).join(near, "node").select("node", "old", F.least("old", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        labels = stored(hop.join(jump, "mid").select("node", F.least("mid", "far").alias("root"), (F.least("mid", "far") < F.col("old")).alias("moved")), "labels")
+        labels = stored(hop.join(jump, "mid").select("node", F.least("mid", "far").alias("root"), (F.least("mid", "far") < F.col("old")).alias("moved")), "labels", instead_of=labels)
+    forget(both)
     return labels.select("node", "root")
 
 

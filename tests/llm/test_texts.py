@@ -88,6 +88,37 @@ def test_labelers_are_weighed():
     assert abs(share - 0.4) < 0.12 and hit[0] > hit[2] and miss[0] < miss[2]
 
 
+def test_reliabilities_against_brute_force():
+    """EM over single candidates in plain loops, with the same beginning and the same smoothing."""
+    rng = random.Random(3)
+    votes = [tuple(rng.choice([-1, 0, 1, 1]) for _ in range(3)) for _ in range(400)]
+    share, hit, miss = 0.5, [0.8] * 3, [0.2] * 3
+    for _ in range(50):
+        q = []
+        for v in votes:
+            yes, no = share, 1 - share
+            for j, x in enumerate(v):
+                if x >= 0:
+                    yes, no = yes * (hit[j] if x else 1 - hit[j]), no * (miss[j] if x else 1 - miss[j])
+            q.append(yes / (yes + no))
+        share = min(0.98, max(0.02, sum(q) / len(q)))
+        hit = [(sum(p for p, v in zip(q, votes) if v[j] == 1) + 1.6) / (sum(p for p, v in zip(q, votes) if v[j] >= 0) + 2) for j in range(3)]
+        miss = [(sum(1 - p for p, v in zip(q, votes) if v[j] == 1) + 0.4) / (sum(1 - p for p, v in zip(q, votes) if v[j] >= 0) + 2) for j in range(3)]
+    got = pii.estimate([(v, votes.count(v)) for v in sorted(set(votes))])
+    assert abs(got[0] - share) < 1e-6 and np.allclose(got[1], hit, atol=1e-6) and np.allclose(got[2], miss, atol=1e-6)
+
+
+def test_secrets_are_found(spark):
+    rng = random.Random(5)
+    key = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    texts = [f'words token = "{key(40)}" more words' for _ in range(60)] + [f"password: {key(12, 'abcXYZ019_')}9 and on" for _ in range(20)]
+    clean = ["plain words without any of it, key ideas: nothing", "a_long_name_of_something_without_digits = 3", "number 12345678901234567890123 only"] * 20
+    got = {r["doc_id"]: r for r in pii.find(documents(spark, texts + clean)).collect()}
+    assert sum(got[i]["n_secret"] for i in range(60)) == 60 and sum(got[i]["n_secret"] for i in range(60, 80)) >= 18
+    assert all(got[i]["n_secret"] == got[i]["n_spans"] == 0 for i in range(80, 140))
+    assert got[0]["spans"] == "secret:15:55"
+
+
 def test_every_span_is_voted_on(spark, monkeypatch):
     """Base spans of all kinds, names without a title, obfuscated addresses and cut card numbers are candidates."""
     texts = ["mail a@b.com", "login from 10.1.2.3 and 10[.]1[.]2[.]4", "visa 4111 1111 1111 1111 then 4111 1111 1111 1111 12", "phone +1 (523) 555-1055", "ssn 123-45-6789"]
