@@ -47,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # Each stage's result takes the place of the one that it was made of.
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"), instead_of=docs)
     return docs
