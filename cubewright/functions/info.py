@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubewright.functions.aggregates import AGGREGATES, ITERATORS
@@ -39,6 +39,8 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
     "storage_files": [("ID", "int"), ("Name", "str")],
     "storage_folders": [("ID", "int"), ("Name", "str")],
     "segments": [("ID", "int"), ("Name", "str")],
+    "roles": [("ID", "int"), ("Name", "str")],
+    "permissions": [("ID", "int"), ("Role", "str"), ("Table", "str"), ("FilterExpression", "str")],
     "empty": [("ID", "int"), ("Name", "str")],
 }
 
@@ -59,7 +61,9 @@ _SUFFIXES = {
     "storage_files": "STORAGEFILES",
     "storage_folders": "STORAGEFOLDERS",
     "segments": "STORAGETABLECOLUMNSEGMENTS",
-    "empty": "ALTERNATEOFDEFINITIONS CALCULATIONGROUPS CALCULATIONITEMS CHANGEDPROPERTIES COLUMNPERMISSIONS DATASOURCES DELTATABLEMETADATASTORAGES DETAILROWSDEFINITIONS EXPRESSIONS EXTENDEDPROPERTIES FORMATSTRINGDEFINITIONS GENERALSEGMENTMAPSEGMENTMETADATASTORAGES GROUPBYCOLUMNS HIERARCHIES HIERARCHYSTORAGES KPIS LEVELS LINGUISTICMETADATA OBJECTTRANSLATIONS PARQUETFILESTORAGES PERSPECTIVECOLUMNS PERSPECTIVEHIERARCHIES PERSPECTIVEMEASURES PERSPECTIVES PERSPECTIVETABLES QUERYGROUPS REFRESHPOLICIES RELATEDCOLUMNDETAILS ROLEMEMBERSHIPS ROLES TABLEPERMISSIONS VARIATIONS",
+    "roles": "ROLES",
+    "permissions": "TABLEPERMISSIONS",
+    "empty": "ALTERNATEOFDEFINITIONS CALCULATIONGROUPS CALCULATIONITEMS CHANGEDPROPERTIES COLUMNPERMISSIONS DATASOURCES DELTATABLEMETADATASTORAGES DETAILROWSDEFINITIONS EXPRESSIONS EXTENDEDPROPERTIES FORMATSTRINGDEFINITIONS GENERALSEGMENTMAPSEGMENTMETADATASTORAGES GROUPBYCOLUMNS HIERARCHIES HIERARCHYSTORAGES KPIS LEVELS LINGUISTICMETADATA OBJECTTRANSLATIONS PARQUETFILESTORAGES PERSPECTIVECOLUMNS PERSPECTIVEHIERARCHIES PERSPECTIVEMEASURES PERSPECTIVES PERSPECTIVETABLES QUERYGROUPS REFRESHPOLICIES RELATEDCOLUMNDETAILS ROLEMEMBERSHIPS VARIATIONS",
 }
 KINDS = {f"INFO.{name}": kind for kind, names in _SUFFIXES.items() for name in names.split()}
 
@@ -116,6 +120,10 @@ def rows(m: SemanticModel, kind: str) -> list[tuple]:
         return [("Name", m.name), ("Culture", m.culture), ("Tables", str(len(m.tables))), ("Measures", str(len(m.measures))), ("Relationships", str(len(m.relationships))), ("CompatibilityLevel", "1600")]
     if kind == "storage_files":
         return numbered([f"{n}.{x}" for n in _storages(m) for x in ("idf", "dictionary")] + [f"{t}.tbl.xml" for t in m.tables])
+    if kind == "roles":
+        return numbered(m.roles)
+    if kind == "permissions":
+        return [(i + 1, *x) for i, x in enumerate((r, t, e) for r, filters in m.roles.items() for t, e in filters.items())]
     return []
 
 
@@ -141,8 +149,21 @@ def dependencies(m: SemanticModel) -> list[tuple[str, str, str | None, str]]:
 def info(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     kind = KINDS[node.name]
     names = [(c, fresh("i"), k) for c, k in COLUMNS[kind]]
-    schema = ", ".join(f"`{at}` {SPARK_TYPE[k]}" for _, at, k in names)
-    return Rel(p.spark.createDataFrame(rows(p.model, kind), schema), [Out(c, at, k) for c, at, k in names])
+    return Rel(local(p.spark, rows(p.model, kind), [(at, SPARK_TYPE[k]) for _, at, k in names]), [Out(c, at, k) for c, at, k in names])
+
+
+def _literal(v: object) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v)
+
+
+def local(spark: SparkSession, made: list[tuple], columns: list[tuple[str, str]]) -> DataFrame:
+    """Few rows as a local relation: the optimizer works on them without a job."""
+    cast = ", ".join(f"CAST(c{i} AS {kind}) AS `{name}`" for i, (name, kind) in enumerate(columns))
+    given = made or [(None,) * len(columns)]
+    values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in given)
+    return spark.sql(f"SELECT {cast} FROM VALUES {values} AS t({', '.join(f'c{i}' for i in range(len(columns)))})" + ("" if made else " WHERE FALSE"))
 
 
 def column_statistics(m: SemanticModel) -> DataFrame:

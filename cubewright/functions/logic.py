@@ -123,6 +123,8 @@ def value_of(v: Val) -> Val:
 def if_error(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     """Functions here give BLANK instead of errors, so what can fail is known from the operand:
     infinities, NaN and failed conversions count as errors, BLANK itself doesn't."""
+    if isinstance(node.args[0], s.Call) and node.args[0].name == "ERROR":
+        return p.scalar(node.args[1], frame, env)
     try:
         v, alt = p.scalar(node.args[0], frame, env), p.scalar(node.args[1], frame, env)
     except DaxError:
@@ -143,6 +145,8 @@ def _failed(p: Planner, node: s.Node, v: Val, frame: Frame, env: Env):
 
 @special("ISERROR")
 def is_error(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
+    if isinstance(node.args[0], s.Call) and node.args[0].name == "ERROR":
+        return lit(True)
     try:
         v = p.scalar(node.args[0], frame, env)
     except DaxError:

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cubewright import queries
+from cubewright import families, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
