@@ -1,25 +1,24 @@
-"""Small models with values that can be checked by hand."""
+"""Small models with values that can be worked out by hand."""
 
 import datetime as dt
 
 from cubewright.model import SemanticModel
 
 
-def conformance(spark) -> SemanticModel:
-    """N (scalars with a blank), D (sparse dates), F (facts), K (dimension with an
-    empty member), PC (parent and child)."""
-    day = lambda m: dt.datetime(2024, m, 15)
+def workshop(spark) -> SemanticModel:
+    """Tools for hire: 80 in fees (saw 30, drill 20, press 30, the lathe never hired); readings with blanks; who answers to whom."""
+    day = lambda m, d: dt.datetime(2023, m, d)
     m = SemanticModel(spark)
-    m.add_table("N", spark.createDataFrame([(0.25, 1, True, "alpha"), (0.5, 2, False, "Beta"), (-0.75, 3, True, "gamma"), (0.9, 4, False, "delta"), (None, 5, True, "Epsilon")], "x double, i long, b boolean, s string"))
-    m.add_table("D", spark.createDataFrame([(day(i), i, (i + 2) // 3) for i in range(1, 7)], "Date timestamp_ntz, M long, Q long"), date_column="Date")
-    m.add_table("F", spark.createDataFrame([(1, 100.0, day(1)), (2, 200.0, day(2)), (1, 50.0, day(4)), (3, 300.0, day(5))], "k long, v double, d timestamp_ntz"))
-    m.add_table("K", spark.createDataFrame([(1, "X"), (2, "X"), (3, "Y"), (4, "Z")], "k long, grp string"))
-    m.add_table("PC", spark.createDataFrame([(1, "root", None), (2, "child-a", 1), (3, "child-b", 1), (4, "grand", 2)], "id long, label string, parent long"))
-    m.relate("F[k]", "K[k]").relate("F[d]", "D[Date]")
-    return m.measure("Total V", "SUM(F[v])", "F")
+    m.add_table("Tool", spark.createDataFrame([(10, "saw"), (20, "drill"), (30, "drill"), (40, "press"), (50, "lathe")], "k long, kind string"))
+    m.add_table("Hire", spark.createDataFrame([(10, 12.0, day(3, 3)), (20, 7.0, day(3, 3)), (20, 9.0, day(4, 20)), (30, 4.0, day(5, 1)), (40, 30.0, day(5, 9)), (10, 18.0, day(6, 30))], "tool long, fee double, day timestamp_ntz"))
+    m.add_table("Day", spark.createDataFrame([(day(*x), x[0]) for x in ((3, 3), (4, 20), (5, 1), (5, 9), (6, 30))], "Date timestamp_ntz, M long"), date_column="Date")
+    m.add_table("Reading", spark.createDataFrame([(4.0, 2, True, "oak"), (1.0, 4, True, "Elm"), (None, 6, False, "ash"), (2.0, 8, False, "Fir"), (8.0, 10, True, None)], "level double, n long, good boolean, tag string"))
+    m.add_table("Staff", spark.createDataFrame([(7, None), (3, 7), (9, 3), (4, 9)], "id long, boss long"))
+    m.relate("Hire[tool]", "Tool[k]").relate("Hire[day]", "Day[Date]")
+    return m.measure("Fees", "SUM(Hire[fee])", "Hire")
 
 
-def star(spark) -> SemanticModel:
-    """S: one table of categories and regions, total 180."""
+def crops(spark) -> SemanticModel:
+    """Four fields on two sides of a road: 20 tons in all."""
     m = SemanticModel(spark)
-    return m.add_table("S", spark.createDataFrame([("A", "N", 30), ("B", "N", 35), ("C", "S", 40), ("D", "S", 75)], "Cat string, Reg string, V long")).measure("T", "SUM(S[V])")
+    return m.add_table("Crop", spark.createDataFrame([("p", "east", 3), ("q", "west", 1), ("r", "west", 10), ("s", "east", 6)], "field string, side string, t long")).measure("Tons", "SUM(Crop[t])")

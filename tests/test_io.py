@@ -9,7 +9,7 @@ import pytest
 from cubewright import api, sources, streaming
 from cubewright.errors import DaxError
 
-from .models import conformance
+from .models import workshop
 
 
 def test_files(spark, tmp_path):
@@ -34,9 +34,9 @@ def test_entered(spark):
 
 
 def test_model_file(spark, tmp_path):
-    sources.save_model(conformance(spark), str(tmp_path / "m"))
+    sources.save_model(workshop(spark), str(tmp_path / "m"))
     m = sources.open_model(spark, str(tmp_path / "m"))
-    assert api.evaluate(m, ["Total V"], filters={"K.grp": ["X"]}).first()[0] == 350
+    assert api.evaluate(m, ["Fees"], filters={"Tool.kind": ["saw"]}).first()[0] == 30
 
 
 def test_streams_equal_batches(spark, tmp_path):
