@@ -1,7 +1,7 @@
 """INFO functions and COLUMNSTATISTICS: the model's catalog as tables.
 
 Catalog rows are few and made from the model's description; nothing is scanned
-but by COLUMNSTATISTICS, which takes one aggregation per table.
+but by COLUMNSTATISTICS.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cubewright.functions.aggregates import AGGREGATES, ITERATORS
 from cubewright.model import SPARK_TYPE, SemanticModel
+from cubewright.operators.profiles import distinct_counts
 from cubewright.plans import syntax as s
 from cubewright.plans.context import Env, Frame, Out, Rel, fresh, q
 from cubewright.plans.planner import SCALARS, SPECIAL, TABLES, Planner, table_function
@@ -174,12 +175,16 @@ def column_statistics(m: SemanticModel) -> DataFrame:
         aggs = [F.count(F.lit(1)).alias("__n")]
         for i, c in enumerate(cols):
             v = Val(q(c), m.column_type(t, c))
-            aggs += [text(Val(F.min(q(c)), v.type)).alias(f"a{i}"), text(Val(F.max(q(c)), v.type)).alias(f"b{i}"), (F.count_distinct(q(c)) + F.coalesce(F.max(q(c).isNull().cast("long")), F.lit(0))).alias(f"n{i}")]
+            aggs += [text(Val(F.min(q(c)), v.type)).alias(f"a{i}"), text(Val(F.max(q(c)), v.type)).alias(f"b{i}")]
             aggs.append((F.max(F.length(q(c))).cast("long") if v.type == "str" else F.lit(None).cast("long")).alias(f"l{i}"))
         one = df.agg(*aggs)
-        each = [F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.col(f"a{i}").alias("lo"), F.col(f"b{i}").alias("hi"), F.col(f"n{i}").alias("n"), F.col(f"l{i}").alias("l")) for i, c in enumerate(cols)]
+        each = [F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.col(f"a{i}").alias("lo"), F.col(f"b{i}").alias("hi"), F.lit(None).cast("long").alias("n"), F.col(f"l{i}").alias("l")) for i, c in enumerate(cols)]
         each.append(F.struct(F.lit(t).alias("t"), F.lit(ROW_NUMBER).alias("c"), F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("hi"), F.col("__n").alias("n"), F.lit(None).cast("long").alias("l")))
-        parts.append(one.select(F.inline(F.array(*each))).toDF("Table Name", "Column Name", "Min", "Max", "Cardinality", "Max Length"))
+        # BLANK counts as a value of its own.
+        counted = distinct_counts(df, cols).select(F.col("column").alias("of"), (F.col("distinct") + (F.col("nulls") > 0).cast("long")).alias("m"))
+        made = one.select(F.inline(F.array(*each))).join(counted, F.col("c") == F.col("of"), "left")
+        # The name as a literal: a filter on it leaves the other tables unread.
+        parts.append(made.select(F.lit(t).alias("t"), "c", "lo", "hi", F.coalesce("n", "m").alias("n"), "l").toDF("Table Name", "Column Name", "Min", "Max", "Cardinality", "Max Length"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -16,8 +16,7 @@ from cubewright.plans import syntax as s
 from cubewright.plans.context import Env, Frame, Out, Rel, fresh, match, q
 from cubewright.plans.planner import Planner, keyword, special, table_function
 from cubewright.plans.values import Val, date, double, lit, same_type, text
-
-from cubewright.workers import ship
+from cubewright.workers import settled, ship
 
 from .filters import column_of
 from .ranks import estimated_bytes, running
@@ -71,32 +70,26 @@ def rank_x(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     frame.require(*keys)
     # BLANK ranks as zero, as comparisons take it.
     zero = F.lit("") if kind == "str" else F.lit(0)
-    groups = inner.df.select(*map(q, keys), F.coalesce(q(at), zero).alias("__v")).groupBy(*map(q, keys), "__v").agg(F.count(F.lit(1)).alias("__n"))
+    member = args[2] is None or args[2] == args[1]
+    groups = inner.df.select(*map(q, keys), F.coalesce(q(at), zero).alias("__v"), F.lit(1).alias("__n"))
+    if not member:
+        # Values that need not be members are ranked among them, with no weight of their own.
+        asked = frame.df.where(q(own).isNotNull()).select(*map(q, keys), q(own).alias("__v"), F.lit(0).alias("__n"))
+        groups = groups.unionByName(asked)
+    weight = F.max("__n") if dense else F.sum("__n")
+    groups = groups.groupBy(*map(q, keys), "__v").agg(weight.cast("long").alias("__n"))
     if keys:
         over = Window.partitionBy(*map(q, keys)).orderBy(F.col("__v").desc() if down else F.col("__v").asc())
         ahead = F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, -1))
-        groups = groups.withColumn("__before", F.coalesce(ahead, F.lit(0))).withColumn("__row", F.row_number().over(over))
+        groups = groups.withColumn("__before", F.coalesce(ahead, F.lit(0)))
     else:
         tables = {o.lineage[0] for o in rel.cols if o.lineage}
         size = sum(estimated_bytes(p.model.tables[t]) for t in tables) if tables else estimated_bytes(groups)
         groups = running(groups, "__v", "__n", down, kind in ("int", "dbl"), size)
-    rank = F.col("__row") if dense else F.col("__before") + 1
-    groups = groups.withColumn("__r", rank).withColumn("__next", rank + (1 if dense else F.col("__n")))
-    names = {k: fresh("on") for k in keys}
-    right = groups.select(*[q(k).alias(n) for k, n in names.items()], "__v", "__r", "__next")
-    mine_ = F.coalesce(q(own), zero)
-    if args[2] is None or args[2] == args[1]:
-        exact, out = right.select(*map(q, names.values()), F.col("__v").alias("__at"), F.col("__r").alias("__rank")), fresh("r")
-        named = frame.add(mine_, "v")
-        frame.df = frame.df.join(exact, match([*names.items(), (named, "__at")]), "left").drop(*names.values(), "__at").withColumnRenamed("__rank", out)
-        return Val(F.coalesce(q(out), F.lit(1)).cast("long"), "int")
-    # A value that need not be a member: the members beyond it are counted.
-    beyond = q(own).isNotNull() & (F.col("__v") > mine_ if down else F.col("__v") < mine_)
-    out, row = fresh("r"), fresh("row")
-    frame.df = frame.df.withColumn(row, F.monotonically_increasing_id())
-    pairs = frame.df.select(row, own, *map(q, keys)).join(right, match(list(names.items())) & beyond if names else beyond)
-    counted = pairs.groupBy(row).agg((F.max("__next")).alias(out)).withColumnRenamed(row, "__of")
-    frame.df = frame.df.join(counted, q(row) == F.col("__of"), "left").drop("__of", row)
+    names, out = {k: fresh("on") for k in keys}, fresh("r")
+    right = groups.select(*[q(k).alias(n) for k, n in names.items()], F.col("__v").alias("__at"), (F.col("__before") + 1).alias(out))
+    named = frame.add(F.coalesce(q(own), zero) if member else q(own), "v")
+    frame.df = frame.df.join(right, match([*names.items(), (named, "__at")]), "left").drop(*names.values(), "__at")
     return Val(F.coalesce(q(out), F.lit(1)).cast("long"), "int")
 
 
@@ -225,15 +218,15 @@ def parent_paths(p: Planner, table: str, key: str, parent: str):
     rows = base.select(kind(key).alias("id"), kind(parent).alias("up")).where(F.col("id").isNotNull()).dropDuplicates(["id"])
     known = rows.select(F.col("id").alias("known"))
     rows = rows.join(known, F.col("up") == F.col("known"), "left").select("id", F.col("known").alias("up"))
-    out = rows.select("id", "up", F.array("id").alias("chain"))
+    out = settled(rows.select("id", "up", F.array("id").alias("chain")))
     for _ in range(32):
         if out.where("up IS NOT NULL").isEmpty():
             break
         above = out.select(F.col("id").alias("a"), F.col("up").alias("next"), F.col("chain").alias("head"))
         step = out.join(above, F.col("up") == F.col("a"), "left")
         step = step.select("id", F.col("next").alias("up"), F.when(F.col("head").isNotNull(), F.concat("head", "chain")).otherwise(F.col("chain")).alias("chain"))
-        # What repeats an id runs in a cycle.
-        out = step.where(F.size(F.array_distinct("chain")) == F.size("chain"))
+        # What repeats an id runs in a cycle. Each round is stored, as the next one reads it twice.
+        out = settled(step.where(F.size(F.array_distinct("chain")) == F.size("chain")))
     return out.where("up IS NULL").select("id", F.array_join("chain", "|").alias("path"))
 
 

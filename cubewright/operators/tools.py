@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cubewright.errors import DaxError, DaxSyntaxError
 from cubewright.model import SemanticModel, dax_type
+from cubewright.operators.profiles import distinct_counts
 from cubewright.plans.context import q
 from cubewright.plans.values import Val, text
 
@@ -160,24 +161,26 @@ def find_value(model: SemanticModel, value: str, exact: bool = False, tables: li
 
 
 def table_stats(model: SemanticModel, table: str) -> DataFrame:
-    """Per column: type, rows, nulls, distinct, min, max, average, text lengths; one aggregation."""
+    """Per column: type, rows, nulls, distinct, min, max, average, text lengths; one aggregation,
+    and one of its own for each column's distinct values."""
     df = model.tables[model.table_name(table)]
     cols = [(f.name, dax_type(f.dataType)) for f in df.schema.fields if not f.dataType.simpleString().startswith(("array", "map", "struct", "binary"))]
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, (c, kind) in enumerate(cols):
         numbers = kind in ("int", "dbl", "dec")
         aggs += [
-            F.count_if(q(c).isNull()).alias(f"nulls{i}"), F.count_distinct(q(c)).alias(f"distinct{i}"),
             text(Val(F.min(q(c)), kind)).alias(f"min{i}"), text(Val(F.max(q(c)), kind)).alias(f"max{i}"),
             (F.avg(q(c)) if numbers else F.lit(None)).cast("double").alias(f"avg{i}"),
             (F.min(F.length(q(c))) if kind == "str" else F.lit(None)).cast("long").alias(f"short{i}"), (F.max(F.length(q(c))) if kind == "str" else F.lit(None)).cast("long").alias(f"long{i}"),
         ]
     one = df.agg(*aggs)
     each = [
-        F.struct(F.lit(c).alias("column"), F.lit(kind).alias("type"), F.col("rows"), F.col(f"nulls{i}").alias("nulls"), F.col(f"distinct{i}").alias("distinct"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"avg{i}").alias("avg"), F.col(f"short{i}").alias("min_length"), F.col(f"long{i}").alias("max_length"))
+        F.struct(F.lit(c).alias("column"), F.lit(kind).alias("type"), F.col("rows"), F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"avg{i}").alias("avg"), F.col(f"short{i}").alias("min_length"), F.col(f"long{i}").alias("max_length"))
         for i, (c, kind) in enumerate(cols)
     ]
-    return one.select(F.inline(F.array(*each)))
+    counted = distinct_counts(df, [c for c, _ in cols]).withColumnRenamed("column", "of")
+    made = one.select(F.inline(F.array(*each))).join(counted, F.col("column") == F.col("of"))
+    return made.select("column", "type", "rows", "nulls", "distinct", "min", "max", "avg", "min_length", "max_length")
 
 
 def top_values(model: SemanticModel, table: str, n: int = 5) -> DataFrame:

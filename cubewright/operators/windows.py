@@ -2,7 +2,7 @@
 
 The relation gets row numbers per context and partition by one window; the
 current row is found by a join on its columns (or MATCHBY's), and the wanted
-positions by an equi-join or a range of row numbers inside the partition.
+positions by an equi-join on row numbers inside the partition.
 """
 
 from __future__ import annotations
@@ -133,8 +133,11 @@ def rank(p: Planner, node: s.Call, frame: Frame, env: Env) -> Val:
     return _position(p, axis, frame, env, axis.dense if dense else axis.rank)
 
 
-def _rows(p: Planner, axis: Axis, frame: Frame, env: Env, wanted) -> Rel:
-    """Rows of the relation per context where ``wanted(current, at, n)`` holds."""
+def _rows(p: Planner, axis: Axis, frame: Frame, env: Env, first, last=None) -> Rel:
+    """Rows of the relation per context from position ``first(current, n)`` to ``last(current, n)``, or that one alone.
+
+    The positions are listed and joined by equality, not compared with each row.
+    """
     pairs = _current(p, axis, frame, env)
     frame.require(*axis.rel.keys)
     mine = [c for c in dict.fromkeys([*axis.rel.keys, *(a for a, _ in pairs)])]
@@ -142,12 +145,18 @@ def _rows(p: Planner, axis: Axis, frame: Frame, env: Env, wanted) -> Rel:
     names = {c: fresh("on") for c in axis.df.columns}
     here = axis.df.select(*[q(c).alias(n) for c, n in names.items()])
     on = match([(k, names[k]) for k in axis.rel.keys] + [(a, names[b]) for a, b in pairs])
-    current = contexts.join(here, on).select(*map(q, mine), *[q(names[x]).alias(f"__c{i}") for i, x in enumerate(axis.parts)], q(names[axis.at]).alias("__now"))
+    current = contexts.join(here, on).select(*map(q, mine), *[q(names[x]).alias(f"__c{i}") for i, x in enumerate(axis.parts)], q(names[axis.at]).alias("__now"), q(names[axis.n]).alias("__of"))
+    now, n = F.col("__now"), F.col("__of")
+    low = first(now, n).cast("long")
+    if last is None:
+        current = current.withColumn("__want", low)
+    else:
+        low, high = F.greatest(low, F.lit(1).cast("long")), F.least(last(now, n).cast("long"), n)
+        current = current.withColumn("__want", F.explode(F.when(low <= high, F.sequence(low, high))))
     other = {c: fresh("t") for c in axis.df.columns}
     there = axis.df.select(*[q(c).alias(n) for c, n in other.items()])
     same = [(k, other[k]) for k in axis.rel.keys] + [(f"__c{i}", other[x]) for i, x in enumerate(axis.parts)]
-    cond = wanted(F.col("__now"), q(other[axis.at]), q(other[axis.n]))
-    joined = current.join(there, match(same) & cond if same else cond)
+    joined = current.join(there, match([*same, ("__want", other[axis.at])]))
     outs = [Out(o.name, other[o.at], o.type, o.lineage) for o in axis.rel.cols]
     return Rel(joined.select(*map(q, mine), *[q(o.at) for o in outs]), outs, mine)
 
@@ -161,7 +170,7 @@ def index(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     if not axis.parts:
         df = axis.df.where(wanted)
         return Rel(df.select(*map(q, [*axis.rel.keys, *(o.at for o in axis.rel.cols)])), axis.rel.cols, axis.rel.keys)
-    return _rows(p, axis, frame, env, lambda now, at, n: at == k if k > 0 else at == n + 1 + k)
+    return _rows(p, axis, frame, env, lambda now, n: F.lit(k) if k > 0 else n + 1 + k)
 
 
 @table_function("OFFSET")
@@ -169,7 +178,7 @@ def offset(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     plain, marks = _split(node.args)
     k = int(constant(p, plain[0], frame, env))
     axis = _numbered(p, plain[1] if len(plain) > 1 else None, marks, frame, env)
-    return _rows(p, axis, frame, env, lambda now, at, n: at == now + k)
+    return _rows(p, axis, frame, env, lambda now, n: now + k)
 
 
 @table_function("WINDOW")
@@ -188,6 +197,6 @@ def window(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
             return now + k
         return F.lit(k) if k > 0 else n + 1 + k
 
-    return _rows(p, axis, frame, env, lambda now, at, n: (at >= bound(*bounds[0], now, n)) & (at <= bound(*bounds[1], now, n)))
+    return _rows(p, axis, frame, env, lambda now, n: bound(*bounds[0], now, n), lambda now, n: bound(*bounds[1], now, n))
 
 

@@ -1,4 +1,4 @@
-"""The package on the executors: Python workers need not have it on their path."""
+"""What the engine needs of the cluster: the package on its executors, and a place for intermediate rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -25,3 +25,17 @@ def ship(spark: SparkSession | None = None) -> None:
         kept = shutil.copy(at, tempfile.mkdtemp(prefix="cubewright-"))
     spark.sparkContext.addPyFile(kept)
     _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to ``spark.checkpoint.dir``, which all executors share, and read from there.
+
+    Where it is unset and all runs on one machine, a temporary folder stands in.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not at and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="cubewright-"))
+    return df.checkpoint()
