@@ -112,6 +112,99 @@ class SemanticModel:
         self.roles[name] = {self.table_name(t): e for t, e in filters.items()}
         return self
 
+    def calculated(self, tables: dict[str, str] | None = None, columns: dict[tuple[str, str], str] | None = None) -> SemanticModel:
+        """Add calculated tables and columns given in any order: each after those it refers to."""
+        waiting = [((name, None), e) for name, e in (tables or {}).items()] + list((columns or {}).items())
+        while waiting:
+            names = {(t if c is None else f"{t}[{c}]").lower() for (t, c), _ in waiting}
+            ready = [(at, e) for at, e in waiting if not (self._uses(e) | ({at[0].lower()} if at[1] else set())) & names - {(at[0] if at[1] is None else f"{at[0]}[{at[1]}]").lower()}]
+            if not ready:
+                raise DaxError(f"these refer to each other: {', '.join(sorted(names))}")
+            for (table, column), e in ready:
+                self.calculated_table(table, e) if column is None else self.calculated_column(table, column, e)
+            waiting = [x for x in waiting if x not in ready]
+        return self
+
+    def _uses(self, expression: str, seen: frozenset = frozenset()) -> set[str]:
+        """Names of tables, and of columns as table[column], in an expression and the measures it calls."""
+        from cubewright.plans import syntax
+
+        out: set[str] = set()
+        for n in syntax.walk(syntax.parse(expression)):
+            if isinstance(n, syntax.Name):
+                out.add(n.name.lower())
+            elif isinstance(n, syntax.Ref) and n.table:
+                out |= {n.table.lower(), f"{n.table}[{n.column}]".lower()}
+            elif isinstance(n, syntax.Ref) and n.column.lower() in self.measures and n.column.lower() not in seen:
+                out |= self._uses(self.measures[n.column.lower()].expression, seen | {n.column.lower()})
+        return out
+
+    # -- editing ----------------------------------------------------------
+
+    def drop_measure(self, name: str) -> SemanticModel:
+        if self.measures.pop(name.lower(), None) is None:
+            raise UnknownName(f"no measure [{name}]")
+        self.version += 1
+        return self
+
+    def change_measure(self, name: str, expression: str | None = None, new_name: str | None = None, format: str | None = None) -> SemanticModel:
+        if name.lower() not in self.measures:
+            raise UnknownName(f"no measure [{name}]")
+        old = self.measures.pop(name.lower())
+        return self.measure(new_name or old.name, expression or old.expression, old.table, format or old.format)
+
+    def drop_column(self, column: str) -> SemanticModel:
+        """``drop_column("F[v]")``: the column, its relationships and its sort order go."""
+        table, name = self._column(column)
+        self.tables[table] = self.tables[table].drop(name)
+        self.relationships = [r for r in self.relationships if (table, name) not in ((r.from_table, r.from_column), (r.to_table, r.to_column))]
+        self.calculated_columns.pop((table, name), None)
+        self.sort_by = {c: by for c, by in self.sort_by.items() if c != (table, name) and (c[0], by) != (table, name)}
+        if name in self.keys.get(table, ()):
+            del self.keys[table]
+        if self.date_columns.get(table) == name:
+            del self.date_columns[table]
+        self.version += 1
+        return self
+
+    def drop_table(self, name: str) -> SemanticModel:
+        """The table and what belongs to it: relationships, its measures, its columns' definitions."""
+        table = self.table_name(name)
+        for held in (self.tables, self.keys, self.date_columns, self.calculated_tables):
+            held.pop(table, None)
+        self.relationships = [r for r in self.relationships if table not in (r.from_table, r.to_table)]
+        self.measures = {k: x for k, x in self.measures.items() if x.table != table}
+        self.calculated_columns = {c: e for c, e in self.calculated_columns.items() if c[0] != table}
+        self.sort_by = {c: by for c, by in self.sort_by.items() if c[0] != table}
+        self.roles = {r: {t: e for t, e in filters.items() if t != table} for r, filters in self.roles.items()}
+        self.version += 1
+        return self
+
+    def _relationship(self, many: str, one: str) -> int:
+        ends = (*self._column(many), *self._column(one))
+        at = next((i for i, r in enumerate(self.relationships) if r.ends == ends), None)
+        if at is None:
+            raise UnknownName(f"no relationship from {many} to {one}")
+        return at
+
+    def drop_relationship(self, many: str, one: str) -> SemanticModel:
+        del self.relationships[self._relationship(many, one)]
+        self.version += 1
+        return self
+
+    def change_relationship(self, many: str, one: str, **options: bool) -> SemanticModel:
+        """``change_relationship("F[k]", "K[k]", active=False, both=True)``"""
+        at = self._relationship(many, one)
+        self.relationships[at] = replace(self.relationships[at], **options)
+        self.version += 1
+        return self
+
+    def sorted_by(self, column: str, by: str) -> SemanticModel:
+        """``sorted_by("D[MonthName]", "Month")``"""
+        table, name = self._column(column)
+        self.sort_by[table, name] = self.column_name(table, by)
+        return self
+
     def copy(self) -> SemanticModel:
         return replace(self, tables=dict(self.tables), keys=dict(self.keys), date_columns=dict(self.date_columns), relationships=list(self.relationships), measures=dict(self.measures), calculated_columns=dict(self.calculated_columns), calculated_tables=dict(self.calculated_tables), roles=dict(self.roles), sort_by=dict(self.sort_by), annotations=dict(self.annotations))
 

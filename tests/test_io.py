@@ -8,6 +8,7 @@ import pytest
 
 from cubewright import api, sources, streaming
 from cubewright.errors import DaxError
+from cubewright.sources import tmdl
 
 from .models import workshop
 
@@ -54,3 +55,78 @@ def test_streams_equal_batches(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("d").count() == 3
+
+
+DEFINITION = """
+model Yard
+\tculture: en-GB
+
+/// what is stacked where
+table Stack
+\tmeasure 'Volume (m3)' = SUM(Stack[m3])
+\t\tformatString: 0.0
+\tmeasure Mean =
+\t\t\tVAR n = COUNTROWS(Stack)
+\t\t\tRETURN DIVIDE([Volume (m3)], n)
+\tcolumn m3
+\t\tdataType: double
+\t\tsourceColumn: volume
+\tcolumn bay
+\t\tdataType: int64
+\tcolumn Twice = Stack[m3] * 2 + Stack[Once]
+\tcolumn Once = Stack[m3]
+
+table Bay
+\tcolumn id
+\t\tdataType: int64
+\t\tisKey
+\tcolumn Row
+\t\tdataType: string
+\t\tsortByColumn: id
+
+table Large
+\tpartition Large = calculated
+\t\tsource = FILTER(Used, Used[m3] > 3)
+
+table Used
+\tpartition Used = calculated
+\t\tsource = FILTER(Stack, Stack[m3] > 0)
+
+relationship 1f
+\tfromColumn: Stack.bay
+\ttoColumn: Bay.id
+\tcrossFilteringBehavior: bothDirections
+
+role North
+\tmodelPermission: read
+\ttablePermission Bay = Bay[Row] = "N"
+"""
+
+
+def test_tmdl(spark, tmp_path):
+    data = {"Stack": spark.createDataFrame([(2.0, 1), (5.0, 1), (0.0, 2), (4.0, 2)], "volume double, bay int"), "Bay": spark.createDataFrame([(1, "N"), (2, "S")], "id int, Row string")}
+    m = tmdl.read(spark, DEFINITION, data)
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "model.tmdl").write_text(tmdl.write(m))
+    again = tmdl.read(spark, str(tmp_path / "d"), {t: m.tables[t] for t in ("Stack", "Bay")})
+    for x in (m, again):
+        assert api.evaluate(x, {"v": "[Volume (m3)]", "n": "[Mean]", "t": "SUM(Stack[Twice])", "l": "COUNTROWS(Large)"}).first().asDict() == {"v": 11.0, "n": 2.75, "t": 33.0, "l": 2}
+        assert api.evaluate(x, ["Mean"], role="North").first()[0] == 3.5
+        assert x.culture == "en-GB" and x.sort_by == {("Bay", "Row"): "id"} and x.relationships[0].both and x.measures["volume (m3)"].format == "0.0"
+    with pytest.raises(DaxError):
+        m.calculated({"A": "FILTER(B, TRUE())", "B": "FILTER(A, TRUE())"})
+
+
+def test_editing(spark):
+    m = workshop(spark)
+    m.change_measure("Fees", "SUM(Hire[fee]) * 2").change_relationship("Hire[tool]", "Tool[k]", active=False)
+    assert api.evaluate(m, ["Fees"], filters={"Tool.kind": ["saw"]}).first()[0] == 160
+    m.change_relationship("Hire[tool]", "Tool[k]", active=True)
+    assert api.evaluate(m, ["Fees"], filters={"Tool.kind": ["saw"]}).first()[0] == 60
+    m.change_measure("Fees", new_name="Double").drop_column("Hire[day]").drop_table("Staff")
+    assert [r.to_table for r in m.relationships] == ["Tool"] and "Staff" not in m.tables and list(m.measures) == ["double"]
+    m.drop_relationship("Hire[tool]", "Tool[k]").drop_measure("Double")
+    assert not m.relationships and not m.measures
+    for bad in (lambda: m.drop_measure("Double"), lambda: m.drop_table("Staff"), lambda: m.drop_column("Hire[day]"), lambda: m.drop_relationship("Hire[tool]", "Tool[k]")):
+        with pytest.raises(DaxError):
+            bad()
