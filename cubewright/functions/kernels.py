@@ -1,4 +1,4 @@
-"""Scalar kernels in Python: folded for constants, else Arrow-batched UDFs."""
+"""Scalar kernels: folded for constants; else Spark expressions where there is a closed form, and Arrow-batched UDFs."""
 
 from __future__ import annotations
 
@@ -44,6 +44,15 @@ def python_scalar(f: Callable, values: Sequence[Val], kind: str) -> Val:
     return Val(udf(*[v.col if v.type in ("date", "str") else number(v).cast("double") for v in values]), kind)
 
 
+def closed(f: Callable, formula: Callable, values: Sequence[Val]) -> Val:
+    """A function with a closed form: constants are folded by ``f``, columns take ``formula``,
+    a Spark expression; None where it can't be computed."""
+    if all(v.is_const for v in values):
+        return python_scalar(f, values, "dbl")
+    x = formula(*[number(v).cast("double") for v in values])
+    return Val(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x), "dbl")
+
+
 def _typed(out, kind: str):
     if out is None:
         return None
