@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import python_ready, text_digest
 
 MAX_TRAIN = 8000
-#: Bytes of bags that the fitting task holds at most; a bag has 6 a bucket, 4 KB for a usual text.
+#: Bytes of bags that the fitting task holds at most; a bag has 6 a bucket, about 20 KB for a usual text.
 MAX_TRAIN_BYTES = 256 << 20
 BUCKETS = 1 << 15
 DIM = 16
