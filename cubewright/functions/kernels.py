@@ -6,6 +6,7 @@ import datetime as dt
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ from cubewright.model import SPARK_TYPE
 from cubewright.plans.values import Val, lit, number
 from cubewright.workers import ship
 
+#: Results that a task keeps between batches, for each function.
+KNOWN = 1 << 14
+
 
 def _safe(f: Callable, values: tuple):
     if any(v is None or isinstance(v, float) and math.isnan(v) for v in values):
@@ -30,18 +34,51 @@ def plain(v: Val):
 
 
 def python_scalar(f: Callable, values: Sequence[Val], kind: str) -> Val:
-    """``f`` of the values; None where an argument is BLANK or ``f`` can't be computed."""
+    """``f`` of the values; None where an argument is BLANK or ``f`` can't be computed.
+
+    ``f`` depends on its arguments alone: it is called once for equal arguments in a batch.
+    """
     if all(v.is_const for v in values):
         return lit(_typed(_safe(f, tuple(plain(v) for v in values)), kind), kind)
 
     ship()
+    fixed = [_fixed(v) if v.is_const else None for v in values]
+    given = [i for i, v in enumerate(values) if not v.is_const]
+    known: dict = {}  # a task's own: it is sent empty
 
     @F.pandas_udf(SPARK_TYPE[kind])
     def udf(*columns: pd.Series) -> pd.Series:
-        rows = zip(*(c.astype(object).where(c.notna(), None) for c in columns))
-        return pd.Series([_typed(_safe(f, row), kind) for row in rows], dtype=object)
-
-    return Val(udf(*[v.col if v.type in ("date", "str") else number(v).cast("double") for v in values]), kind)
+        code, first = _alike(columns)
+        rows = zip(*(c.iloc[first].astype(object).where(c.iloc[first].notna(), None) for c in columns))
+        if len(known) > KNOWN:
+            known.clear()
+        out = np.empty(len(first), dtype=object)
+        for at, row in enumerate(rows):
+            if row not in known:
+                args = list(fixed)
+                for i, x in zip(given, row):
+                    args[i] = x
+                known[row] = _typed(_safe(f, tuple(args)), kind)
+            out[at] = known[row]
+        return pd.Series(out[code], dtype=object)
+
+    return Val(udf(*[values[i].col if values[i].type in ("date", "str") else number(values[i]).cast("double") for i in given]), kind)
+
+
+def _fixed(v: Val):
+    """A constant as the column of it would reach the kernel."""
+    return v.const if v.const is None or v.type in ("date", "str") else float(v.const)
+
+
+def _alike(columns: Sequence[pd.Series]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its combination of values, and for each combination its first row."""
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        one, values = pd.factorize(c)
+        code = pd.factorize(code * (len(values) + 1) + one + 1)[0]
+    first = np.empty(code.max(initial=-1) + 1, dtype=np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return code, first
 
 
 def closed(f: Callable, formula: Callable, values: Sequence[Val]) -> Val:
