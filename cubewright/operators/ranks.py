@@ -7,12 +7,21 @@ only balance the buckets: the result doesn't depend on them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cubewright.plans.context import match, q
+from cubewright.workers import settled
+
 #: Relations that Spark estimates below this many bytes are ranked by one window.
 SMALL = 64 << 20
 CUTS = [i / 200 for i in range(1, 200)]
+#: Relations of at most this many rows are numbered by one window; they are counted if Spark estimates COUNTED bytes or more.
+ROWS, COUNTED = 1 << 20, 4 << 20
+#: About so many buckets, cut by so many rows each.
+BUCKETS, EACH = 256, 100
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -39,3 +48,97 @@ def running(df: DataFrame, value: str, weight: str, down: bool, numeric: bool, s
     here = F.coalesce(F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = cut.join(F.broadcast(totals), F.col("__bucket") == F.col("__of"))
     return out.withColumn("__before", F.col("__w0") + here).withColumn("__row", F.col("__n0") + F.row_number().over(within)).drop("__bucket", "__of", "__w0", "__n0")
+
+
+def many_rows(df: DataFrame) -> int:
+    """The number of rows if it is beyond ROWS, else 0."""
+    n = df.count() if estimated_bytes(df) >= COUNTED else 0
+    return n if n > ROWS else 0
+
+
+#: A sort key: the column's name and whether it descends. BLANK is smallest.
+SortKey = tuple[str, bool]
+
+
+def sorting(keys: Iterable[SortKey]) -> list[Column]:
+    return [q(c).desc_nulls_last() if down else q(c).asc_nulls_first() for c, down in keys]
+
+
+def bucketed(df: DataFrame, n: int, keys: list[SortKey]) -> DataFrame:
+    """``df`` of ``n`` rows with __bucket, which ascends in the order of ``keys``.
+
+    Sampled rows are the cuts; they only balance the buckets. Each row finds its bucket by
+    binary search on all keys, so that only rows equal in all of them can't be parted.
+    """
+    first = dict(reversed(keys))  # a column that comes again orders nothing
+    names = list(dict.fromkeys(c for c, _ in keys))
+    keys = [(c, first[c]) for c in names]
+    some = df.select(*map(q, names)).sample(fraction=min(1.0, BUCKETS * EACH / n), seed=7)
+    some = some.withColumn("__r", F.row_number().over(Window.orderBy(*sorting(keys)))).where(F.col("__r") % EACH == 0)
+    cuts = settled(some.agg(F.array_sort(F.collect_list(F.struct("__r", *[q(c).alias(f"k{i}") for i, c in enumerate(names)]))).alias("__cuts")))
+
+    def search(bucket: Column, step: Column) -> Column:
+        cut, passed = F.get("__cuts", bucket + step - 1), F.lit(False)
+        for i, (c, down) in reversed(list(enumerate(keys))):
+            have, own = cut[f"k{i}"], q(c)
+            ahead = F.coalesce(have > own, have.isNotNull() & own.isNull()) if down else F.coalesce(have < own, have.isNull() & own.isNotNull())
+            passed = ahead | (have.eqNullSafe(own) & passed)
+        return F.when((bucket + step <= F.size("__cuts")) & passed, bucket + step).otherwise(bucket)
+
+    steps = [1 << i for i in range(BUCKETS.bit_length())][::-1]
+    # A fold, as chained columns would be multiplied out when a filter is pushed through them.
+    return df.crossJoin(F.broadcast(cuts)).withColumn("__bucket", F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)).drop("__cuts")
+
+
+def numbered(df: DataFrame, parts: list[str], orders: list[SortKey], ties: list[str], names: list[str]) -> DataFrame:
+    """``df`` with row number, rank, dense rank and number of rows in the partition ``parts``, as columns ``names``.
+
+    Row numbers follow ``orders`` and then ``ties``, ranks ``orders`` alone.
+    """
+    at, rank, dense, of = names
+    rows = [*orders, *((t, False) for t in ties)]
+    orders = orders or rows
+    n = many_rows(df)
+    if not n:
+        base = Window.partitionBy(*map(q, parts))
+        ranked = base.orderBy(*sorting(orders))
+        return df.select("*", F.row_number().over(base.orderBy(*sorting(rows))).alias(at), F.rank().over(ranked).alias(rank), F.dense_rank().over(ranked).alias(dense), F.count(F.lit(1)).over(base).alias(of))
+    # Numbers within a bucket, then each bucket's own: what lies before it, and whether its first rows tie with the last ones there.
+    cut = bucketed(df, n, [*((c, False) for c in parts), *rows])
+    within = Window.partitionBy(*map(q, parts), "__bucket")
+    within_rank = within.orderBy(*sorting(rows))  # one sort serves all three
+    value = F.struct(*[q(c).alias(f"k{i}") for i, (c, _) in enumerate(orders)])
+    new = ~F.coalesce(F.lag(value).over(within_rank).eqNullSafe(value), F.lit(False)) | (F.row_number().over(within_rank) == 1)
+    local = cut.select("*", F.row_number().over(within_rank).alias(at), new.cast("int").alias("__new"))
+    upto = within_rank.rowsBetween(Window.unboundedPreceding, 0)
+    local = local.select("*", F.max(F.when(F.col("__new") == 1, q(at))).over(upto).alias(rank), F.sum("__new").over(upto).alias(dense)).drop("__new")
+    ends = local.groupBy(*map(q, parts), "__bucket").agg(F.count(F.lit(1)).alias("__n"), F.max(q(rank)).alias("__r"), F.max(q(dense)).alias("__d"), F.min_by(value, q(at)).alias("__first"), F.max_by(value, q(at)).alias("__last"))
+    over = Window.partitionBy(*map(q, parts)).orderBy("__bucket")
+    prior = over.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    ends = ends.withColumn("__tied", F.coalesce(F.lag("__last").over(over).eqNullSafe(F.col("__first")) & (F.row_number().over(over) > 1), F.lit(False)).cast("int"))
+    ends = ends.withColumn("__rows0", F.coalesce(F.sum("__n").over(prior), none)).withColumn("__dense0", F.coalesce(F.sum(F.col("__d") - F.col("__tied")).over(prior), none) - F.col("__tied"))
+    begun = F.when((F.col("__tied") == 0) | (F.col("__d") > 1), F.col("__rows0") + F.col("__r"))
+    ends = ends.withColumn("__rank0", F.last(begun, ignorenulls=True).over(prior)).withColumn("__of", F.sum("__n").over(Window.partitionBy(*map(q, parts))))
+    ends = ends.select(*[q(c).alias(f"__p{i}") for i, c in enumerate(parts)], F.col("__bucket").alias("__b"), "__tied", "__rows0", "__dense0", "__rank0", "__of")
+    joined = local.join(ends, match([*((c, f"__p{i}") for i, c in enumerate(parts)), ("__bucket", "__b")]))
+    ranks = F.when((F.col("__tied") == 1) & (q(rank) == 1), F.col("__rank0")).otherwise(F.col("__rows0") + q(rank))
+    return joined.select(*map(q, df.columns), (F.col("__rows0") + q(at)).alias(at), ranks.alias(rank), (F.col("__dense0") + q(dense)).alias(dense), F.col("__of").alias(of))
+
+
+def at_positions(df: DataFrame, n: int, keys: list[SortKey], positions: list[int]) -> DataFrame:
+    """The rows of ``df``, of ``n`` rows, at the 0-based ``positions`` of the order; only buckets that hold one are sorted."""
+    cut = bucketed(df, n, keys)
+    sizes = {r["__bucket"]: r["count"] for r in cut.groupBy("__bucket").count().collect()}
+    wanted, starts, before, todo = [], [], 0, sorted(set(positions))[::-1]
+    for b in sorted(sizes):
+        held = False
+        while todo and todo[-1] < before + sizes[b]:
+            wanted.append((b, todo.pop() - before + 1))
+            held = True
+        if held:
+            starts.append(b)
+        before += sizes[b]
+    held = cut.where(F.col("__bucket").isin(starts)).withColumn("__row", F.row_number().over(Window.partitionBy("__bucket").orderBy(*sorting(keys))))
+    asked = df.sparkSession.createDataFrame(wanted, "__in int, __want int")
+    return held.join(F.broadcast(asked), (F.col("__bucket") == F.col("__in")) & (F.col("__row") == F.col("__want")), "left_semi")

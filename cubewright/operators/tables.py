@@ -17,6 +17,7 @@ from cubewright.plans.planner import Planner, keyword, special, table_function
 from cubewright.plans.values import Val, cast, double, lit, same_type, text, truth
 
 from .filters import column_of
+from .ranks import SortKey, at_positions, many_rows, numbered, sorting
 
 
 def renamed(rel: Rel, *, distinct: bool = False) -> Rel:
@@ -531,6 +532,11 @@ def pass_through(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
 
 def ordered(p: Planner, rel: Rel, args: tuple, frame: Frame, env: Env, default: str = "DESC") -> tuple[Rel, list]:
     """Order expressions with their directions as sort Columns (BLANK is smallest)."""
+    rel, keys = sort_keys(p, rel, args, frame, env, default)
+    return rel, sorting(keys)
+
+
+def sort_keys(p: Planner, rel: Rel, args: tuple, frame: Frame, env: Env, default: str) -> tuple[Rel, list[SortKey]]:
     inner = p.frame(rel.df, frame, rel.keys)
     row_env = env.row(inner, rel)
     orders, i = [], 0
@@ -546,10 +552,7 @@ def ordered(p: Planner, rel: Rel, args: tuple, frame: Frame, env: Env, default:
         orders.append((v, down))
         i += 1
     p.flush(inner)
-    made = []
-    for v, down in orders:
-        c = q(inner.add(v.col, "o"))
-        made.append(c.desc_nulls_last() if down == "DESC" else c.asc_nulls_first())
+    made = [(inner.add(v.col, "o"), down == "DESC") for v, down in orders]
     return Rel(inner.df, rel.cols, list(inner.carried), rel.base), made
 
 
@@ -613,14 +616,20 @@ def sample(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     """Evenly spaced rows of the order: positions round(i * (rows - 1) / (n - 1))."""
     n = int(constant(p, node.args[0], frame, env))
     rest = {"SAMPLE": node.args[2:], "SAMPLEAXISWITHLOCALMINMAX": node.args[3:4], "SAMPLECARTESIANPOINTSBYCOVER": node.args[2:4]}[node.name]
-    rel, orders = ordered(p, p.table(node.args[1], frame, env), rest, frame, env, "ASC")
-    within = Window.partitionBy(*map(q, rel.keys))
-    df = rel.df.withColumn("__n", F.count(F.lit(1)).over(within)).withColumn("__at", F.row_number().over(within.orderBy(*orders, *tie_break(rel))) - 1)
+    rel, orders = sort_keys(p, p.table(node.args[1], frame, env), rest, frame, env, "ASC")
+    ties = [o.at for o in rel.cols]
+    rows = 0 if rel.keys else many_rows(rel.df)
+    if rows > n:
+        # Python's round() takes halves to even numbers, as bround() does.
+        positions = [round(i * (rows - 1) / (n - 1)) for i in range(n)] if n > 1 else range(n)
+        return strip(rel, at_positions(rel.df, rows, [*orders, *((t, False) for t in ties)], list(positions)))
+    names = [fresh(x) for x in ("at", "rank", "dense", "n")]
+    df = numbered(rel.df, rel.keys, orders, ties, names).withColumn("__n", q(names[3])).withColumn("__at", q(names[0]) - 1)
     if n <= 1:
         return strip(rel, df.where(F.col("__at") < n))
     step = (F.col("__n") - 1) / F.lit(float(n - 1))
     i = F.round(F.col("__at") / step)
-    near = [F.bround((i + k) * step) == F.col("__at") for k in (-1, 0, 1)]
+    near = [F.bround((i + k) * (F.col("__n") - 1) / F.lit(float(n - 1))) == F.col("__at") for k in (-1, 0, 1)]
     inside = [(i + k).between(0, n - 1) for k in (-1, 0, 1)]
     picked = reduce(lambda a, b: a | b, [x & y for x, y in zip(near, inside)])
     return strip(rel, df.where((F.col("__n") <= n) | picked))

@@ -6,7 +6,7 @@ import pytest
 
 from cubewright import api
 from cubewright.model import SemanticModel
-from cubewright.operators import tools
+from cubewright.operators import ranks, tools
 
 from .models import crops, workshop
 
@@ -185,3 +185,39 @@ def test_table_constructors_and_nested_rows(spark):
     assert one(m, "SUMX(GENERATESERIES(2, 4), VAR n = [Value] RETURN COUNTROWS(GENERATESERIES(1, n)))") == 9
     assert one(m, "MAXX(VALUES(Tool[kind]), CALCULATE(COUNTROWS(Hire)))") == 3
     assert one(m, "CALCULATE([Fees], FILTER(VALUES(Tool[kind]), [Fees] < 25))") == 20
+
+
+@pytest.fixture
+def large(monkeypatch):
+    """A few dozen rows count as many."""
+    for name, value in {"ROWS": 20, "COUNTED": 0, "BUCKETS": 8, "EACH": 3}.items():
+        monkeypatch.setattr(ranks, name, value, raising=False)
+
+
+def one_task(df):
+    return "SinglePartition" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def marks(spark):
+    """Sixty marks, with ties and blanks, and whole rows that come twice."""
+    rows = [(None if i % 7 == 0 else i * 5 % 11, "ab"[i % 3 == 0], i // 2) for i in range(60)]
+    return SemanticModel(spark).add_table("Mark", spark.createDataFrame(rows, "m long, side string, id long"))
+
+
+def in_order(rows, *keys):
+    """Sorted by the columns of ``keys``, descending where True, BLANK as the smallest."""
+    for c, down in reversed(keys):
+        rows = sorted(rows, key=lambda r: (r[c] is not None, r[c] or 0), reverse=down)  # noqa: B023
+    return rows
+
+
+def sampled(spark, call, down, n):
+    m = marks(spark)
+    df = api.table_expression(m, f'SELECTCOLUMNS({call}, "m", Mark[m], "side", Mark[side], "id", Mark[id])')
+    assert not one_task(df)
+    rows = in_order([tuple(r) for r in m.tables["Mark"].collect()], (0, down), (0, False), (1, False), (2, False))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(rows[round(i * 59 / (n - 1))]) for i in range(n))
+
+
+def test_cartesian_sample_of_many_rows(spark, large):
+    sampled(spark, "SAMPLECARTESIANPOINTSBYCOVER(9, Mark, Mark[m], Mark[side])", False, 9)
