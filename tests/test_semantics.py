@@ -221,3 +221,7 @@ def sampled(spark, call, down, n):
 
 def test_cartesian_sample_of_many_rows(spark, large):
     sampled(spark, "SAMPLECARTESIANPOINTSBYCOVER(9, Mark, Mark[m], Mark[side])", False, 9)
+
+
+def test_axis_sample_of_many_rows(spark, large):
+    sampled(spark, "SAMPLEAXISWITHLOCALMINMAX(6, Mark, Mark[id], Mark[m])", False, 6)
