@@ -225,3 +225,7 @@ def test_cartesian_sample_of_many_rows(spark, large):
 
 def test_axis_sample_of_many_rows(spark, large):
     sampled(spark, "SAMPLEAXISWITHLOCALMINMAX(6, Mark, Mark[id], Mark[m])", False, 6)
+
+
+def test_even_sample_of_many_rows(spark, large):
+    sampled(spark, "SAMPLE(15, Mark, Mark[m], DESC)", True, 15)
