@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cubewright.errors import DaxError
@@ -18,6 +18,7 @@ from cubewright.plans.context import Env, Frame, Key, Out, Rel, fresh, match, q
 from cubewright.plans.planner import Planner, keyword, special, table_function
 from cubewright.plans.values import Val, cast
 
+from .ranks import numbered
 from .tables import constant, direction, renamed
 
 
@@ -66,12 +67,9 @@ def _numbered(p: Planner, relation: s.Node | None, marks: dict, frame: Frame, en
     parts = [p.scalar(a, inner, row_env) for a in marks["PARTITIONBY"].args] if "PARTITIONBY" in marks else []
     p.flush(inner)
     part_names = [inner.add(v.col, "p") for v in parts]
-    by = [v.col.desc_nulls_last() if d else v.col.asc_nulls_first() for v, d in orders]
-    ties = [q(o.at).asc_nulls_first() for o in rel.cols]
-    base = Window.partitionBy(*map(q, [*inner.carried, *part_names]))
+    by = [(inner.add(v.col, "o"), d) for v, d in orders]
     names = [fresh(x) for x in ("at", "rank", "dense", "n")]
-    ranked = base.orderBy(*(by or ties))
-    df = inner.df.select("*", F.row_number().over(base.orderBy(*by, *ties)).alias(names[0]), F.rank().over(ranked).alias(names[1]), F.dense_rank().over(ranked).alias(names[2]), F.count(F.lit(1)).over(base).alias(names[3]))
+    df = numbered(inner.df, [*inner.carried, *part_names], by, [o.at for o in rel.cols], names)
     picked = [rel.pick(a.table, a.column) for a in marks["MATCHBY"].args] if "MATCHBY" in marks else rel.cols
     return Axis(Rel(df, rel.cols, list(inner.carried)), df, part_names, *names, picked)
 

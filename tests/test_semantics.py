@@ -229,3 +229,26 @@ def test_axis_sample_of_many_rows(spark, large):
 
 def test_even_sample_of_many_rows(spark, large):
     sampled(spark, "SAMPLE(15, Mark, Mark[m], DESC)", True, 15)
+
+
+def test_ranks_of_many_rows(spark, large):
+    """Ranks and row numbers whose ties and partitions cross buckets; no partition, or one of few values, lies in one task."""
+    m = marks(spark)
+    rows = [tuple(r) for r in m.tables["Mark"].collect()]
+    order = "ORDERBY(Mark[m], DESC)"
+    df = api.table_expression(m, f'SELECTCOLUMNS(Mark, "m", Mark[m], "side", Mark[side], "id", Mark[id], "s", RANK(SKIP, Mark, {order}), "d", RANK(DENSE, Mark, {order}, PARTITIONBY(Mark[side])), "r", ROWNUMBER(Mark, {order}, PARTITIONBY(Mark[side])))')
+    value = lambda r: -1 if r[0] is None else r[0]
+    want = []
+    for r in rows:
+        side = sorted((x for x in rows if x[1] == r[1]), key=lambda x: (-value(x), x[2]))
+        want.append((*r, 1 + sum(value(x) > value(r) for x in rows), 1 + len({value(x) for x in side if value(x) > value(r)}), 1 + side.index(r)))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
+def test_numbers_are_made_in_buckets(spark, large):
+    """A partition of all rows is parted, and so is a tie of most of them."""
+    rows = spark.range(0, 400, 1, 3).selectExpr("id", "CASE WHEN id < 300 THEN 1 ELSE id END AS v", "'p' AS p")
+    cut = ranks.bucketed(rows, 400, [("p", False), ("v", True), ("id", False)]).groupBy("__bucket").count().collect()
+    assert len(cut) > 5 and max(r["count"] for r in cut) < 200
+    got = ranks.numbered(rows, ["p"], [("v", True)], ["id"], ["at", "rank", "dense", "of"]).collect()
+    assert sorted((r["at"], r["rank"], r["dense"], r["of"]) for r in got) == [(i + 1, min(i, 100) + 1, min(i, 100) + 1, 400) for i in range(400)]
