@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubewright.plans.context import match, q
-from cubewright.workers import settled
 
 #: Relations that Spark estimates below this many bytes are ranked by one window.
 SMALL = 64 << 20
@@ -22,6 +21,8 @@ CUTS = [i / 200 for i in range(1, 200)]
 ROWS, COUNTED = 1 << 20, 4 << 20
 #: About so many buckets, cut by so many rows each.
 BUCKETS, EACH = 256, 100
+#: Wanted buckets in at most so many runs are fetched by bounds on the first sort key.
+RUNS = 16
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -64,30 +65,48 @@ def sorting(keys: Iterable[SortKey]) -> list[Column]:
     return [q(c).desc_nulls_last() if down else q(c).asc_nulls_first() for c, down in keys]
 
 
-def bucketed(df: DataFrame, n: int, keys: list[SortKey]) -> DataFrame:
-    """``df`` of ``n`` rows with __bucket, which ascends in the order of ``keys``.
+def value_of(df: DataFrame) -> Column:
+    """The one value of ``df`` as a literal; an array joined to a relation would be copied into each of its rows."""
+    row, kind = df._jdf.queryExecution().executedPlan().executeCollect()[0], df._jdf.schema().apply(0).dataType()
+    sql = df.sparkSession._jvm.org.apache.spark.sql
+    return Column(sql.classic.ExpressionUtils.column(sql.catalyst.expressions.Literal(row.get(0, kind), kind)))
 
-    Sampled rows are the cuts; they only balance the buckets. Each row finds its bucket by
-    binary search on all keys, so that only rows equal in all of them can't be parted.
-    """
+
+def distinct_keys(keys: list[SortKey]) -> list[SortKey]:
     first = dict(reversed(keys))  # a column that comes again orders nothing
-    names = list(dict.fromkeys(c for c, _ in keys))
-    keys = [(c, first[c]) for c in names]
-    some = df.select(*map(q, names)).sample(fraction=min(1.0, BUCKETS * EACH / n), seed=7)
+    return [(c, first[c]) for c in dict.fromkeys(c for c, _ in keys)]
+
+
+def cuts_of(df: DataFrame, n: int, keys: list[SortKey]) -> Column:
+    """Rows sampled from the ``n`` of ``df``, in order, as an array of k0, k1, ... for ``keys``; they only balance the buckets."""
+    some = df.select(*[q(c) for c, _ in keys]).sample(fraction=min(1.0, BUCKETS * EACH / n), seed=7)
     some = some.withColumn("__r", F.row_number().over(Window.orderBy(*sorting(keys)))).where(F.col("__r") % EACH == 0)
-    cuts = settled(some.agg(F.array_sort(F.collect_list(F.struct("__r", *[q(c).alias(f"k{i}") for i, c in enumerate(names)]))).alias("__cuts")))
+    return value_of(some.agg(F.array_sort(F.collect_list(F.struct("__r", *[q(c).alias(f"k{i}") for i, (c, _) in enumerate(keys)])))))
+
+
+def bucket_of(cuts: Column, keys: list[SortKey]) -> Column:
+    """The number of cuts before the row, by binary search on all keys: only rows equal in all of them can't be parted."""
+
+    def searched(cuts: Column) -> Column:
+        def search(bucket: Column, step: Column) -> Column:
+            cut, passed = F.get(cuts, bucket + step - 1), F.lit(False)
+            for i, (c, down) in reversed(list(enumerate(keys))):
+                have, own = cut[f"k{i}"], q(c)
+                ahead = F.coalesce(have > own, have.isNotNull() & own.isNull()) if down else F.coalesce(have < own, have.isNull() & own.isNotNull())
+                passed = ahead | (have.eqNullSafe(own) & passed)
+            return F.when((bucket + step <= F.size(cuts)) & passed, bucket + step).otherwise(bucket)
 
-    def search(bucket: Column, step: Column) -> Column:
-        cut, passed = F.get("__cuts", bucket + step - 1), F.lit(False)
-        for i, (c, down) in reversed(list(enumerate(keys))):
-            have, own = cut[f"k{i}"], q(c)
-            ahead = F.coalesce(have > own, have.isNotNull() & own.isNull()) if down else F.coalesce(have < own, have.isNull() & own.isNotNull())
-            passed = ahead | (have.eqNullSafe(own) & passed)
-        return F.when((bucket + step <= F.size("__cuts")) & passed, bucket + step).otherwise(bucket)
+        # A fold, as chained columns would be multiplied out when a filter is pushed through them.
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)
 
     steps = [1 << i for i in range(BUCKETS.bit_length())][::-1]
-    # A fold, as chained columns would be multiplied out when a filter is pushed through them.
-    return df.crossJoin(F.broadcast(cuts)).withColumn("__bucket", F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)).drop("__cuts")
+    return F.transform(F.array(cuts), searched)[0]  # the cuts stand once in the plan
+
+
+def bucketed(df: DataFrame, n: int, keys: list[SortKey]) -> DataFrame:
+    """``df`` of ``n`` rows with __bucket, which ascends in the order of ``keys``."""
+    keys = distinct_keys(keys)
+    return df.withColumn("__bucket", bucket_of(cuts_of(df, n, keys), keys))
 
 
 def numbered(df: DataFrame, parts: list[str], orders: list[SortKey], ties: list[str], names: list[str]) -> DataFrame:
@@ -126,19 +145,44 @@ def numbered(df: DataFrame, parts: list[str], orders: list[SortKey], ties: list[
     return joined.select(*map(q, df.columns), (F.col("__rows0") + q(at)).alias(at), ranks.alias(rank), (F.col("__dense0") + q(dense)).alias(dense), F.col("__of").alias(of))
 
 
+def near_buckets(df: DataFrame, cuts: Column, key: SortKey, runs: list[tuple[int, int]]) -> DataFrame:
+    """The rows of ``df`` whose first sort key may lie in the ``runs`` of buckets (first, last); scans skip files by it."""
+    (c, down), found = key, F.lit(False)
+    own = q(c)
+    for first, last in runs:
+        low, high, ends = F.get(cuts, F.lit(first - 1))["k0"], F.get(cuts, F.lit(last))["k0"], F.size(cuts) <= last
+        if down:
+            after, until = F.when(low.isNull(), own.isNull()).otherwise(own.isNull() | (own <= low)), high.isNull() | (own >= high)
+        else:
+            after, until = low.isNull() | (own >= low), F.when(high.isNull(), own.isNull()).otherwise(own.isNull() | (own <= high))
+        found |= (after if first else F.lit(True)) & (ends | until)
+    if df.select(own).dtypes[0][1] in ("float", "double"):
+        found |= F.isnan(own)  # statistics of files may leave NaN out
+    return df.where(found)
+
+
 def at_positions(df: DataFrame, n: int, keys: list[SortKey], positions: list[int]) -> DataFrame:
-    """The rows of ``df``, of ``n`` rows, at the 0-based ``positions`` of the order; only buckets that hold one are sorted."""
-    cut = bucketed(df, n, keys)
-    sizes = {r["__bucket"]: r["count"] for r in cut.groupBy("__bucket").count().collect()}
-    wanted, starts, before, todo = [], [], 0, sorted(set(positions))[::-1]
+    """The rows of ``df``, of ``n`` rows, at the 0-based ``positions`` of the order; only buckets that hold one are sorted.
+
+    ``keys`` name all columns that are returned. Rows equal in all of them are one row with its number, so copies don't fill a task.
+    """
+    keys = distinct_keys(keys)
+    cuts = cuts_of(df, n, keys)
+    sizes = {r["__bucket"]: r["count"] for r in df.select(bucket_of(cuts, keys).alias("__bucket")).groupBy("__bucket").count().collect()}
+    wanted, runs, before, todo = [], [], 0, sorted(set(positions))[::-1]
     for b in sorted(sizes):
-        held = False
+        held = len(wanted)
         while todo and todo[-1] < before + sizes[b]:
             wanted.append((b, todo.pop() - before + 1))
-            held = True
-        if held:
-            starts.append(b)
+        if len(wanted) > held:
+            runs = [*runs[:-1], (runs[-1][0], b)] if runs and runs[-1][1] == b - 1 else [*runs, (b, b)]
         before += sizes[b]
-    held = cut.where(F.col("__bucket").isin(starts)).withColumn("__row", F.row_number().over(Window.partitionBy("__bucket").orderBy(*sorting(keys))))
-    asked = df.sparkSession.createDataFrame(wanted, "__in int, __want int")
-    return held.join(F.broadcast(asked), (F.col("__bucket") == F.col("__in")) & (F.col("__row") == F.col("__want")), "left_semi")
+    near = near_buckets(df, cuts, keys[0], runs) if len(runs) <= RUNS else df
+    names = [q(c) for c, _ in keys]
+    held = near.select(*names, bucket_of(cuts, keys).alias("__bucket")).where(F.col("__bucket").isin([b for b, _ in wanted]))
+    held = held.groupBy("__bucket", *names).agg(F.count(F.lit(1)).alias("__copies"))
+    upto = Window.partitionBy("__bucket").orderBy(*sorting(keys)).rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("__row", F.sum("__copies").over(upto))
+    asked = df.sparkSession.createDataFrame(wanted, "__in int, __want long")
+    last = F.col("__row") - F.col("__want")
+    return held.join(F.broadcast(asked), (F.col("__bucket") == F.col("__in")) & (last >= 0) & (last < F.col("__copies"))).select(*names)

@@ -1,8 +1,11 @@
 """Filter context, relationships, time intelligence and tools on small models."""
 
 import datetime as dt
+import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cubewright import api
 from cubewright.model import SemanticModel
@@ -252,3 +255,33 @@ def test_numbers_are_made_in_buckets(spark, large):
     assert len(cut) > 5 and max(r["count"] for r in cut) < 200
     got = ranks.numbered(rows, ["p"], [("v", True)], ["id"], ["at", "rank", "dense", "of"]).collect()
     assert sorted((r["at"], r["rank"], r["dense"], r["of"]) for r in got) == [(i + 1, min(i, 100) + 1, min(i, 100) + 1, 400) for i in range(400)]
+
+
+def counted_and_taken(spark, rows, keys, positions):
+    """at_positions and a plain row number, as sorted texts."""
+    got = ranks.at_positions(rows, rows.count(), keys, positions)
+    want = rows.withColumn("__at", F.row_number().over(Window.orderBy(*ranks.sorting(keys))) - 1).where(F.col("__at").isin(positions))
+    text = lambda df: sorted(str(tuple(r)) for r in df.select(*rows.columns).collect())
+    return got, text(got), text(want)
+
+
+@pytest.mark.parametrize("runs", [16, 0])
+def test_positions_of_every_order(spark, large, monkeypatch, runs):
+    """Bounds on the first key, at BLANKs, NaN, both infinities and both directions, leave no wanted row out."""
+    monkeypatch.setattr(ranks, "RUNS", runs, raising=False)
+    value = "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 10 = 1 THEN double('NaN') WHEN id % 25 = 2 THEN double('-Infinity') ELSE id * 7 % 40 / 3.0D END AS v"
+    rows = spark.range(0, 240, 1, 3).selectExpr(value, "CASE WHEN id % 4 > 0 THEN timestamp_seconds(id * 1e9 % 7e9) END AS t", "CASE WHEN id % 3 > 0 THEN string(id % 50) END AS s", "id")
+    for keys in (["v", "t", "s", "id"], ["t", "id", "s", "v"], ["s", "v", "id", "t"]):
+        for down in (False, True):
+            for positions in ([0, 60, 61, 180, 239], list(range(0, 240, 7))):
+                _, got, want = counted_and_taken(spark, rows, [(c, down != (i % 2 == 1)) for i, c in enumerate(keys)], positions)
+                assert got == want and len(got) == len(positions), (keys, down, positions)
+
+
+def test_copies_do_not_fill_a_task(spark, large):
+    """Rows that are equal in all columns reach the sort as one, and cuts are no part of a row."""
+    rows = spark.range(0, 400, 1, 3).selectExpr("CASE WHEN id < 390 THEN 5 ELSE id END AS v", "'p' AS p")
+    df, got, want = counted_and_taken(spark, rows, [("v", True), ("p", False)], [0, 9, 10, 11, 200, 399])
+    assert got == want and len(got) == 6
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Window .*\n\W*Aggregate ", plan) and plan.count("Join") == 1
