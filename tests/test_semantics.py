@@ -285,3 +285,11 @@ def test_copies_do_not_fill_a_task(spark, large):
     assert got == want and len(got) == 6
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Window .*\n\W*Aggregate ", plan) and plan.count("Join") == 1
+
+
+def test_even_sample_of_copies(spark, large):
+    """SAMPLE takes a row once for each of its positions, also where a single row fills nearly all of them."""
+    rows = spark.range(0, 300, 1, 3).selectExpr("CASE WHEN id < 290 THEN 4 ELSE id END AS m")
+    df = api.table_expression(SemanticModel(spark).add_table("Mark", rows), 'SELECTCOLUMNS(SAMPLE(7, Mark, Mark[m], ASC), "m", Mark[m])')
+    assert sorted(r[0] for r in df.collect()) == [4] * 6 + [299]
+    assert re.search(r"Window .*\n\W*Aggregate ", df._jdf.queryExecution().optimizedPlan().toString())
