@@ -8,6 +8,7 @@ only balance the buckets: the result doesn't depend on them.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,12 @@ from cubewright.plans.context import match, q
 #: Relations that Spark estimates below this many bytes are ranked by one window.
 SMALL = 64 << 20
 CUTS = [i / 200 for i in range(1, 200)]
-#: Relations of at most this many rows are numbered by one window; they are counted if Spark estimates COUNTED bytes or more.
-ROWS, COUNTED = 1 << 20, 4 << 20
+#: Relations of at most this many rows are numbered by one window.
+ROWS = 1 << 20
 #: About so many buckets, cut by so many rows each.
 BUCKETS, EACH = 256, 100
+#: A row that is taken more often than this is repeated in several runs.
+REPEAT = 4096
 #: Wanted buckets in at most so many runs are fetched by bounds on the first sort key.
 RUNS = 16
 
@@ -52,8 +55,9 @@ def running(df: DataFrame, value: str, weight: str, down: bool, numeric: bool, s
 
 
 def many_rows(df: DataFrame) -> int:
-    """The number of rows if it is beyond ROWS, else 0."""
-    n = df.count() if estimated_bytes(df) >= COUNTED else 0
+    """The number of rows if it is beyond ROWS, else 0. Bytes tell nothing here: files hold 100 rows a byte where values repeat."""
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    n = df.count() if most.isEmpty() or int(str(most.get())) > ROWS else 0
     return n if n > ROWS else 0
 
 
@@ -161,6 +165,49 @@ def near_buckets(df: DataFrame, cuts: Column, key: SortKey, runs: list[tuple[int
     return df.where(found)
 
 
+def sizes_of(df: DataFrame, cuts: Column, keys: list[SortKey]) -> dict[int, int]:
+    return {r["__bucket"]: r["count"] for r in df.select(bucket_of(cuts, keys).alias("__bucket")).groupBy("__bucket").count().collect()}
+
+
+def distinct_rows(held: DataFrame, n: int, keys: list[SortKey]) -> DataFrame:
+    """The ``n`` rows of ``held`` by __bucket, equal ones as one with __copies, their number, and __row, the last one's position in the bucket.
+
+    They are dealt out by number before they are grouped: a split of a well-packed file holds more of them than a task should.
+    """
+    names = [q(c) for c, _ in keys]
+    held = held.repartition(2 + n // (ROWS // 4), *names).groupBy("__bucket", *names).agg(F.count(F.lit(1)).alias("__copies"))
+    upto = Window.partitionBy("__bucket").orderBy(*sorting(keys)).rowsBetween(Window.unboundedPreceding, 0)
+    return held.withColumn("__row", F.sum("__copies").over(upto))
+
+
+def evenly_spaced(df: DataFrame, n: int, keys: list[SortKey], count: int) -> DataFrame:
+    """``count`` rows of the ``n`` of ``df``, those at the 0-based positions round(i * (n - 1) / (count - 1)); neither is listed.
+
+    ``keys`` name all columns that are returned, and 1 < ``count`` < ``n``.
+    """
+    keys = distinct_keys(keys)
+    if count <= BUCKETS:
+        # Python's round() takes halves to even numbers, as bround() does.
+        return at_positions(df, n, keys, [round(i * (n - 1) / (count - 1)) for i in range(count)])
+    cuts = cuts_of(df, n, keys)
+    sizes = sizes_of(df, cuts, keys)
+    begun = [0, *accumulate(sizes.get(b, 0) for b in range(max(sizes)))]
+
+    def before(at: Column) -> Column:
+        """The number of positions below ``at``: by division, give or take one."""
+        low = F.greatest(F.floor(at * F.lit(float(count - 1)) / F.lit(float(n - 1))) - 1, F.lit(0))
+        own = [low + k for k in range(4)]
+        return low + sum((((i < count) & (F.bround(i * F.lit(float(n - 1)) / F.lit(float(count - 1))) < at)).cast("long") for i in own), F.lit(0))
+
+    names = [q(c) for c, _ in keys]
+    held = distinct_rows(df.select(*names, bucket_of(cuts, keys).alias("__bucket")), n, keys)
+    end = F.get(F.array(*[F.lit(b).cast("long") for b in begun]), F.col("__bucket")) + F.col("__row")
+    taken = held.withColumn("__times", before(end) - before(end - F.col("__copies"))).where(F.col("__times") > 0)
+    # A row that is taken very often is dealt out in runs, so that no array grows with it.
+    runs = taken.select(*names, "__times", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1, F.lit(REPEAT).cast("long"))).alias("__from"))
+    return runs.select(*names, F.explode(F.array_repeat(F.lit(0), F.least(F.lit(REPEAT), F.col("__times") - F.col("__from")).cast("int"))).alias("__again")).select(*names)
+
+
 def at_positions(df: DataFrame, n: int, keys: list[SortKey], positions: list[int]) -> DataFrame:
     """The rows of ``df``, of ``n`` rows, at the 0-based ``positions`` of the order; only buckets that hold one are sorted.
 
@@ -168,7 +215,7 @@ def at_positions(df: DataFrame, n: int, keys: list[SortKey], positions: list[int
     """
     keys = distinct_keys(keys)
     cuts = cuts_of(df, n, keys)
-    sizes = {r["__bucket"]: r["count"] for r in df.select(bucket_of(cuts, keys).alias("__bucket")).groupBy("__bucket").count().collect()}
+    sizes = sizes_of(df, cuts, keys)
     wanted, runs, before, todo = [], [], 0, sorted(set(positions))[::-1]
     for b in sorted(sizes):
         held = len(wanted)
@@ -180,9 +227,7 @@ def at_positions(df: DataFrame, n: int, keys: list[SortKey], positions: list[int
     near = near_buckets(df, cuts, keys[0], runs) if len(runs) <= RUNS else df
     names = [q(c) for c, _ in keys]
     held = near.select(*names, bucket_of(cuts, keys).alias("__bucket")).where(F.col("__bucket").isin([b for b, _ in wanted]))
-    held = held.groupBy("__bucket", *names).agg(F.count(F.lit(1)).alias("__copies"))
-    upto = Window.partitionBy("__bucket").orderBy(*sorting(keys)).rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("__row", F.sum("__copies").over(upto))
+    held = distinct_rows(held, sum(sizes[b] for b in {b for b, _ in wanted}), keys)
     asked = df.sparkSession.createDataFrame(wanted, "__in int, __want long")
     last = F.col("__row") - F.col("__want")
     return held.join(F.broadcast(asked), (F.col("__bucket") == F.col("__in")) & (last >= 0) & (last < F.col("__copies"))).select(*names)

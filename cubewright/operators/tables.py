@@ -17,7 +17,7 @@ from cubewright.plans.planner import Planner, keyword, special, table_function
 from cubewright.plans.values import Val, cast, double, lit, same_type, text, truth
 
 from .filters import column_of
-from .ranks import SortKey, at_positions, many_rows, numbered, sorting
+from .ranks import SortKey, at_positions, evenly_spaced, many_rows, numbered, sorting
 
 
 def renamed(rel: Rel, *, distinct: bool = False) -> Rel:
@@ -619,10 +619,11 @@ def sample(p: Planner, node: s.Call, frame: Frame, env: Env) -> Rel:
     rel, orders = sort_keys(p, p.table(node.args[1], frame, env), rest, frame, env, "ASC")
     ties = [o.at for o in rel.cols]
     rows = 0 if rel.keys else many_rows(rel.df)
-    if rows > n:
-        # Python's round() takes halves to even numbers, as bround() does.
-        positions = [round(i * (rows - 1) / (n - 1)) for i in range(n)] if n > 1 else range(n)
-        return strip(rel, at_positions(rel.df, rows, [*orders, *((t, False) for t in ties)], list(positions)))
+    if rows and rows <= n:
+        return strip(rel, rel.df)
+    if rows:
+        keys = [*orders, *((t, False) for t in ties)]
+        return strip(rel, evenly_spaced(rel.df, rows, keys, n) if n > 1 else at_positions(rel.df, rows, keys, list(range(n))))
     names = [fresh(x) for x in ("at", "rank", "dense", "n")]
     df = numbered(rel.df, rel.keys, orders, ties, names).withColumn("__n", q(names[3])).withColumn("__at", q(names[0]) - 1)
     if n <= 1:

@@ -293,3 +293,25 @@ def test_even_sample_of_copies(spark, large):
     df = api.table_expression(SemanticModel(spark).add_table("Mark", rows), 'SELECTCOLUMNS(SAMPLE(7, Mark, Mark[m], ASC), "m", Mark[m])')
     assert sorted(r[0] for r in df.collect()) == [4] * 6 + [299]
     assert re.search(r"Window .*\n\W*Aggregate ", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_rows_that_compress_well_are_counted(spark, monkeypatch, tmp_path):
+    """A file of a few kilobytes may hold more rows than a task should sort; Spark's estimate only sees its bytes."""
+    monkeypatch.setattr(ranks, "ROWS", 1000)
+    spark.range(0, 20000, 1, 1).selectExpr("id", "1L AS m").write.parquet(str(tmp_path / "mark"))
+    rows = spark.read.parquet(str(tmp_path / "mark"))
+    df = api.table_expression(SemanticModel(spark).add_table("Mark", rows), 'SELECTCOLUMNS(SAMPLE(7, Mark, Mark[m], ASC), "id", Mark[id])')
+    assert ranks.many_rows(rows) == 20000 and not one_task(df)
+    assert sorted(r[0] for r in df.collect()) == [round(i * 19999 / 6) for i in range(7)]
+    assert ranks.many_rows(rows.limit(1000)) == ranks.many_rows(spark.range(1000)) == 0
+
+
+@pytest.mark.parametrize("n", [9, 100, 299, 400])
+def test_positions_of_large_samples_are_not_listed(spark, large, monkeypatch, n):
+    """More positions than buckets are found by arithmetic, without a row for each; a row that is taken often comes in runs."""
+    monkeypatch.setattr(ranks, "REPEAT", 16, raising=False)
+    rows = spark.range(0, 300, 1, 3).selectExpr("CASE WHEN id BETWEEN 90 AND 220 THEN 90 WHEN id > 4 THEN id END AS m", "id % 2 AS side")
+    df = api.table_expression(SemanticModel(spark).add_table("Mark", rows), f'SELECTCOLUMNS(SAMPLE({n}, Mark, Mark[m], DESC), "m", Mark[m], "side", Mark[side])')
+    assert not one_task(df) and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = in_order([tuple(r) for r in rows.collect()], (0, True), (1, False))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(want[round(i * 299 / (n - 1))]) for i in range(n)) if n < 300 else df.count() == 300
